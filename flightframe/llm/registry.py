@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from flightframe.llm import simhash
+from flightframe.llm import bpe, quality, simhash, telephony, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality.op3_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_telephony": telephony.op10_telephony,
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,14 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(df: DataFrame, **added: str) -> StructType:
+    """The schema of df and more columns, name=type."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of whole rows with at most most_bytes of text each (a longer text is a run of its own).
 
