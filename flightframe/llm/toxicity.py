@@ -5,13 +5,15 @@ taken as clean.  The risk of a classifier f under the logistic loss l, with clas
 
     p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)])
 
-and is minimised by mini-batch gradient steps in numpy; where the bracket falls below zero its gradient is reversed, so
-that the classifier cannot fit the unlabelled text below zero risk.  Several linear classifiers over the presence of
-words are trained with different batches and their logits averaged.
+and is minimised by mini-batch Adam steps in numpy; where the bracket falls below zero it counts as zero and has no
+gradient, so the classifier can't gain by taking unlabelled text for clean beyond what the prior allows.  Several linear
+classifiers over words are trained with different batches and their logits averaged.
 
 Positives and unlabelled documents are bounded samples (hash order) of the training fold; the prior is the share of
-toxic marks among all labels of that fold.  Words are runs of letters and digits, A-Z lower-cased; the features are the
-words whose document frequency among positives stands out most from that among unlabelled documents.
+toxic marks among all labels of that fold.  Words are runs of letters and digits, A-Z lower-cased.  A token is a word or
+a word's beginning (5 to 9 bytes); a document has up to two features of a token: it is there, and it makes at least one
+in 128 of the words.  Kept are the features whose document frequency among positives stands out most from that among
+unlabelled documents.
 
 Null and empty texts have no words and score as the bias alone.  Rows with a null doc_id are scored and not held out.
 Without positives every score is the prior, which is 0 if there are no labels.
@@ -30,53 +32,75 @@ from pyspark.sql import functions as F
 from flightframe.llm.folds import remainder, sample
 from flightframe.llm.quality import training_labels
 from flightframe.llm.shared import schema_with, table, text_slices
-from flightframe.llm.words import LETTERS, LOWER, word_hashes
+from flightframe.llm.words import LETTERS, LOWER, mix, span_hashes, word_bounds
 
 SLICE = 4 << 20
 
 
+#: Lengths in bytes of the word beginnings that are tokens, and the share of a document's words that counts as dense.
+BEGINNINGS = range(5, 10)
+DENSE = 128
+
+ONE = np.uint64(1)
+
+
 @dataclass
 class Model:
-    """Known words (sorted hashes), their weights, and the bias."""
+    """Known features (sorted; the lowest bit says dense), their weights, and the bias."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float = 0.0
     risks: list[float] = field(default_factory=list)
 
-
-def text_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of some texts and the number of the text of each."""
-    words, bounds = word_hashes(data, offsets, LETTERS, LOWER)
-    return words, np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-
-
-def presence(words: np.ndarray, text: np.ndarray, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, index into known) pairs."""
-    at = np.searchsorted(known, words)
-    at[at == len(known)] = 0
-    hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-    pairs = np.unique(text[hit] * max(1, len(known)) + at[hit])
-    return pairs // max(1, len(known)), pairs % max(1, len(known))
-
-
-def document_words(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(positive int, words binary): the distinct words of the chosen documents; chosen is bounded, so it is broadcast."""
+    def by_token(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, and each one's weights for being there and for being dense."""
+        tokens, at = np.unique(self.features & ~ONE, return_inverse=True)
+        dense = (self.features & ONE).astype(bool)
+        return tokens, np.bincount(at[~dense], self.weights[~dense], len(tokens)), np.bincount(at[dense], self.weights[dense], len(tokens))
+
+
+def text_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For whole words and each length of beginnings: token hashes (lowest bit 0) and the number of the text of each;
+    and the number of words of each text."""
+    starts, ends, bounds = word_bounds(data, offsets, LETTERS)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    longer = [np.flatnonzero(ends - starts > n) for n in BEGINNINGS]
+    spans = [(starts, ends), *((starts[at], starts[at] + n) for n, at in zip(BEGINNINGS, longer, strict=True))]
+    hashes = span_hashes(data, spans, LOWER)
+    marked = [hashes[0], *(mix(h + np.uint64(n)) for n, h in zip(BEGINNINGS, hashes[1:], strict=True))]
+    return [(h & ~ONE, t) for h, t in zip(marked, (text, *(text[at] for at in longer)), strict=True)], np.diff(bounds)
+
+
+def feature_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The distinct features of each text."""
+    kinds, n_words = text_tokens(data, offsets)
+    hashes, text = (np.concatenate(x) for x in zip(*kinds, strict=True))
+    order = np.argsort(text, kind="stable")
+    cuts = np.searchsorted(text[order], np.arange(len(n_words) + 1))
+    sets = []
+    for k, n in enumerate(n_words):
+        tokens, count = np.unique(hashes[order[cuts[k] : cuts[k + 1]]], return_counts=True)
+        sets.append(np.concatenate((tokens, tokens[count * DENSE >= n] | ONE)))
+    return sets
+
+
+def document_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(positive int, features binary) of the chosen documents; chosen is bounded, so it is broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text", SLICE):
-                words, bounds = word_hashes(data, offsets, LETTERS, LOWER)
-                sets = [np.unique(words[i:j]).tobytes() for i, j in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(sets, pa.binary())], ["positive", "words"])
+                sets = [x.tobytes() for x in feature_sets(data, offsets)]
+                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(sets, pa.binary())], ["positive", "features"])
 
     joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return joined.select("positive", "text").mapInArrow(run, "positive int, words binary")
+    return joined.select("positive", "text").mapInArrow(run, "positive int, features binary")
 
 
-def select_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, least: int = 3) -> np.ndarray:
-    """The words with the largest standardised difference of document frequency, in at least `least` positives."""
+def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, least: int = 3) -> np.ndarray:
+    """The features with the largest standardised difference of document frequency, in at least `least` positives."""
     words, n_pos = np.unique(np.concatenate(positive), return_counts=True)
     words, n_pos = words[n_pos >= least], n_pos[n_pos >= least]
     other, n_other = np.unique(np.concatenate(unlabelled), return_counts=True) if unlabelled else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -95,7 +119,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.05, batch: int = 512, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, float, list[float]]:
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 150, rate: float = 0.05, batch: int = 2048, decay: float = 1e-2, seed: int = 1) -> tuple[np.ndarray, float, list[float]]:
     """Weights, bias and the risk after each epoch.  pos, unl: 0/1 rows.  Adam steps; decay shrinks the weights' size."""
     rng = np.random.default_rng(seed)
     k = pos.shape[1]
@@ -111,18 +135,18 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, rate
             total += prior * np.logaddexp(0, -fp).mean() + max(0.0, bracket)
             g_pos = prior * -_logistic(-fp) / len(p)
             g_unl, g_pos_neg = _logistic(fu) / len(u), -prior * _logistic(fp) / len(p)
-            sign = 1.0 if bracket >= 0 else -1.0
-            gp, gu = (g_pos + g_pos_neg if sign > 0 else -g_pos_neg), sign * g_unl
+            gp, gu = (g_pos + g_pos_neg, g_unl) if bracket >= 0 else (g_pos, np.zeros(len(u)))
+            now = rate * (1 - t / (epochs * steps))
             g = np.append(gp @ pos[p] + gu @ unl[u], gp.sum() + gu.sum())
             t += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w[:k] = np.sign(w[:k]) * np.maximum(0, np.abs(w[:k]) - rate * decay)
+            w -= now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w[:k] = np.sign(w[:k]) * np.maximum(0, np.abs(w[:k]) - now * decay)
         risks.append(total / steps)
     return w[:k], float(w[k]), risks
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 512, classifiers: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 128, classifiers: int = 3) -> Model:
     """labels(doc_id, label): rows that may be learned from; docs(doc_id, text): only its training fold."""
     labels = labels.where("doc_id is not null and label in (0, 1)")
     counts = labels.agg(F.sum("label"), F.count("*")).first()
@@ -132,12 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
         return none
     toxic = sample(labels.where("label = 1").select("doc_id").distinct(), max_positive).select("doc_id", F.lit(1).alias("positive"))
     other = sample(docs.where("doc_id is not null").select("doc_id"), max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    got = document_words(docs, toxic.unionByName(other)).collect()
-    rows = sorted((r["positive"], bytes(r["words"])) for r in got)
+    got = document_features(docs, toxic.unionByName(other)).collect()
+    rows = sorted((r["positive"], bytes(r["features"])) for r in got)
     positive, unlabelled = ([np.frombuffer(x, np.uint64) for kind, x in rows if kind == k] for k in (1, 0))
     if not positive or not unlabelled:
         return none
-    known = select_words(positive, unlabelled, max_words)
+    known = select_features(positive, unlabelled, max_features)
     if not len(known):
         return none
 
@@ -151,14 +175,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score double: the probability of toxicity of each whole text."""
+    tokens, present, dense = model.by_token()
+    maybe = np.zeros(1 << 16, bool)  # by the highest bits of a hash: can it be a known token?
+    maybe[(tokens >> np.uint64(48)).astype(np.int64)] = True
+
+    def logits(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        kinds, n_words = text_tokens(data, offsets)
+        hits = []
+        for hashes, text in kinds:
+            some = np.flatnonzero(maybe[(hashes >> np.uint64(48)).astype(np.int64)])
+            at = np.searchsorted(tokens, hashes[some])
+            at[at == len(tokens)] = 0
+            known = tokens[at] == hashes[some] if len(tokens) else np.zeros(0, bool)
+            hits.append(text[some][known] * len(tokens) + at[known])
+        pairs, count = np.unique(np.concatenate(hits), return_counts=True)
+        text, at = pairs // max(1, len(tokens)), pairs % max(1, len(tokens))
+        weights = present[at] + np.where(count * DENSE >= n_words[text], dense[at], 0)
+        return np.bincount(text, weights, len(n_words)) + model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text", SLICE):
-                words, text = text_words(data, offsets)
-                text, at = presence(words, text, model.words, part.num_rows)
-                logit = np.bincount(text, model.weights[at], part.num_rows) + model.bias
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_logistic(logit))], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_logistic(logits(data, offsets)))], [*part.schema.names, "score"])
 
     return docs.mapInArrow(run, schema_with(docs, score="double"))
 

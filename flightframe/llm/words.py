@@ -58,15 +58,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SP
     return starts, np.flatnonzero(last), np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word's bytes, and the bounds of each text's words."""
-    starts, ends, bounds = word_bounds(data, offsets, kind)
-    if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], fold: np.ndarray = SAME) -> list[np.ndarray]:
+    """A 64-bit hash of the bytes of each span (starts, ends): a polynomial over prefix sums modulo 2 ** 64, mixed."""
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), bounds
+    return [mix((sums[ends] - sums[starts]) * down[starts]) for starts, ends in spans]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word's bytes, and the bounds of each text's words."""
+    starts, ends, bounds = word_bounds(data, offsets, kind)
+    return span_hashes(data, [(starts, ends)], fold)[0], bounds
 
 
 def gram_hashes(words: np.ndarray, bounds: np.ndarray, n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
