@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from flightframe.llm import bpe, quality, simhash, telephony, toxicity
+from flightframe.llm import bpe, quality, simhash, telephony, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_telephony": telephony.op10_telephony,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_url_filter": url_filter.OP7_SQL,
+}
