@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from flightframe.llm import bpe, quality, simhash, telephony, toxicity, url_filter
+from flightframe.llm import bpe, decontaminate, quality, simhash, telephony, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
+    "op4_warc_derivatives": warc.op4_warc_derivatives,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc_derivatives": warc.OP4_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
