@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flightframe.llm import bpe, decontaminate, quality, simhash, telephony, toxicity, url_filter, warc
+from flightframe.llm import bpe, decontaminate, quality, simhash, substring, telephony, toxicity, url_filter, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_substring": substring.op8_substring,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_telephony": telephony.op10_telephony,
 }
