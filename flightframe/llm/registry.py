@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flightframe.llm import bpe, decontaminate, quality, simhash, substring, telephony, toxicity, url_filter, warc
+from flightframe.llm import bpe, decontaminate, line_dedup, quality, simhash, substring, telephony, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_quality": quality.op3_quality,
     "op4_warc_derivatives": warc.op4_warc_derivatives,
