@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **kwargs)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score double: the softmax probability of class 1 of each whole text."""
+    """docs with score double (in place of a column of that name): the softmax probability of class 1 of each whole text."""
+    docs = docs.drop("score")
     weights, offset = model.row_logits(), model.offset()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -155,6 +155,7 @@ def stored_pcm(df: DataFrame, factor: int = 2) -> DataFrame:
                 made.append(to_wav(resample(expand(payload, tag, block), factor).tobytes(), PCM, rate * factor))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "pcm_media"])
 
+    df = df.drop("pcm_media")
     return df.mapInArrow(run, schema_with(df, pcm_media="binary"))
 
 
@@ -186,6 +187,7 @@ def media_features(df: DataFrame) -> DataFrame:
                     row += n
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for *_, p in files], pa.binary()), pa.array(features)], [*part.schema.names, "payload", "feature"])
 
+    df = df.drop("payload", "feature")
     return df.mapInArrow(run, schema_with(df, payload="binary", feature="string"))
 
 

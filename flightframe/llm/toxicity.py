@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score double: the probability of toxicity of each whole text."""
+    """docs with score double (in place of a column of that name): the probability of toxicity of each whole text."""
+    docs = docs.drop("score")
     tokens, present, dense = model.by_token()
     maybe = np.zeros(1 << 16, bool)  # by the highest bits of a hash: can it be a known token?
     maybe[(tokens >> np.uint64(48)).astype(np.int64)] = True
