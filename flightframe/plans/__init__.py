@@ -1,6 +1,6 @@
 """Queries over the driver's tables with DuckDB SQL for the same rows."""
 
-from flightframe.plans import calculated, joins, timing
+from flightframe.plans import calculated, flights, joins, timing
 from flightframe.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "calculated", "joins", "timing"]
+__all__ = ["ORACLES", "QUERIES", "calculated", "flights", "joins", "timing"]
