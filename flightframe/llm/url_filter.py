@@ -90,8 +90,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "key string, verdict string")
-    listed = spark.createDataFrame([(s,) for s in SITES], "key string")
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in RULES))))
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, SITES))).alias("key"))
     return judge(table(spark, sf_dir, "pages"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
