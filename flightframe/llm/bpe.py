@@ -77,7 +77,7 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 class Codec:
     """Encodes and decodes in one worker.  Spaces between words are safe cuts, so results are kept per word."""
 
-    MOST_KEPT = 400_000
+    MOST_KEPT = 200_000
     #: Longer words are encoded each time they come.
     LONGEST_KEPT = 64
 
@@ -133,16 +133,17 @@ class Codec:
 
 
 def _mapped(df: DataFrame, column: str, added: str, model: bytes, pattern: str, work: Callable[[Codec, pa.Array], list[bytes]]) -> DataFrame:
-    """df with one more binary column that work makes from another one, slices of rows at a time."""
+    """df with a binary column (in place of one of that name) that work makes from another one, slices of rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 made = pa.array(work(codec, part.column(column)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, added])
 
+    df = df.drop(added)
     return df.mapInArrow(run, schema_with(df, **{added: "binary"}))
 
 
