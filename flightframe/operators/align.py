@@ -89,11 +89,17 @@ def side_by_side(samples: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def inside_spans(samples: DataFrame, spans: DataFrame) -> DataFrame:
-    """samples inside any closed span(log_id, start_t, end_t) of their log; logs with none of that keep all samples."""
-    rows = samples.withColumn("__row", F.struct("series", "t", "seq"))
-    hit = rows.join(spans.select("log_id", "start_t", "end_t"), "log_id").where(F.col("t").between(F.col("start_t"), F.col("end_t"))).select("log_id", "__row").distinct().withColumn("inside", F.lit(True))
-    marked = rows.join(hit, ["log_id", "__row"], "left").withColumn("filtered", F.coalesce(F.max("inside").over(Window.partitionBy("log_id")), F.lit(False)))
-    return marked.where("inside or not filtered").drop("__row", "inside")
+    """samples inside any closed span(log_id, start_t, end_t) of their log; logs with none of that keep all samples.
+
+    A sample is inside if the greatest end of the spans that have started reaches it, so overlapping spans cost nothing.
+    Adds filtered boolean: whether the log was cut.
+    """
+    starts = spans.select("log_id", F.col("start_t").alias("t"), F.col("end_t").alias("__end"))
+    started = Window.partitionBy("log_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = samples.withColumn("__sample", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    reached = F.coalesce(F.max("__end").over(started) >= F.col("t"), F.lit(False))
+    marked = both.withColumn("__inside", reached).where("__sample").withColumn("filtered", F.max("__inside").over(Window.partitionBy("log_id")))
+    return marked.where("__inside or not filtered").drop("__end", "__sample", "__inside")
 
 
 def clipped_spans(spans: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def time_shift(logs: DataFrame, zero_align: str = "auto") -> DataFrame:
     """logs(.., t_first, user_offset) with shift: -t_first if aligned ("on", or "auto" with several logs), + offset."""
     several = F.lit(zero_align == "on")
     if zero_align == "auto":
-        logs = logs.join(logs.agg((F.count("*") > 1).alias("__several")))
+        logs = logs.join(F.broadcast(logs.agg((F.count("*") > 1).alias("__several"))))  # one row
         several = F.col("__several")
     shift = F.when(several, -F.col("t_first")).otherwise(0.0) + F.coalesce("user_offset", F.lit(0.0))
     return logs.withColumn("shift", shift).drop("__several")
