@@ -12,5 +12,12 @@ def remainder(n: int) -> Column:
 
 
 def sample(ids: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows, the same ones each time: those whose hash of doc_id is lowest."""
+    """At most `most` rows, the same ones each time: those whose hash of doc_id is lowest.
+
+    Of many more rows only those with hashes in the range that is expected to hold four times as many are sorted, so
+    that what tasks send on does not grow with their number.
+    """
+    n = ids.count()
+    if n > 4 * most:
+        ids = ids.where(F.xxhash64("doc_id") < -(1 << 63) + (4 * most << 64) // n)
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

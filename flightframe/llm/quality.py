@@ -68,15 +68,18 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 12, rate: float = 8.0, batch: int = 32, seed: int = 7) -> Model:
-    """docs: for each document its rows and their shares (sum 1).  Cross-entropy, learning rate falling to zero."""
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 12, rate: float = 8.0, batch: int = 32, least_steps: int = 1500, seed: int = 7) -> Model:
+    """docs: for each document its rows and how often each comes.  Cross-entropy, learning rate falling to zero;
+    few documents are gone through more often, so that there are least_steps steps."""
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / dim, 1 / dim, (ROWS, dim)).astype(np.float32), np.zeros((dim, 2), np.float32), np.zeros(2, np.float32))
     if len(set(labels.tolist())) < 2:
         if len(labels):
             model.bias[int(labels[0])] = 3.0
         return model
-    steps, done = epochs * -(-len(docs) // batch), 0
+    per_epoch = -(-len(docs) // batch)
+    epochs = max(epochs, -(-least_steps // per_epoch))
+    steps, done = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
@@ -84,9 +87,9 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
             done += 1
             picked = order[at : at + batch]
             rows = np.concatenate([docs[k][0] for k in picked])
-            share = np.concatenate([docs[k][1] for k in picked]).astype(np.float32)[:, None]
+            share = np.concatenate([docs[k][1] / max(1, docs[k][1].sum()) for k in picked]).astype(np.float32)
             which = np.repeat(np.arange(len(picked)), [len(docs[k][0]) for k in picked])
-            means = np.stack([np.bincount(which, share[:, 0] * model.embeddings[rows, d], len(picked)) for d in range(dim)], axis=1).astype(np.float32)
+            means = np.stack([np.bincount(which, share * model.embeddings[rows, d], len(picked)) for d in range(dim)], axis=1).astype(np.float32)
             logits = means @ model.output + model.bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -96,12 +99,12 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
             model.bias -= now / len(picked) * p.sum(axis=0)
             unique, at_row = np.unique(rows, return_inverse=True)
             for d in range(dim):
-                model.embeddings[unique, d] -= now / len(picked) * np.bincount(at_row, share[:, 0] * back[which, d], len(unique)).astype(np.float32)
+                model.embeddings[unique, d] -= now / len(picked) * np.bincount(at_row, share * back[which, d], len(unique)).astype(np.float32)
     return model
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(label int, rows binary, share binary) of the sampled labelled documents; the sample's bound makes it broadcastable."""
+    """(label int, rows binary, counts binary) of the sampled labelled documents; the sample's bound makes it broadcastable."""
     chosen = F.broadcast(sample(labels, max_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,14 +120,11 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int) ->
     return joined.mapInArrow(run, "label int, rows binary, counts binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, **kwargs) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, **kwargs) -> Model:
     """labels(doc_id, label int): the rows that may be learned from."""
     got = labelled_features(docs, labels.where("label in (0, 1) and doc_id is not null"), max_labelled).collect()
     got.sort(key=lambda r: (bytes(r["rows"]), bytes(r["counts"]), r["label"]))  # the order of rows from Spark may vary
-    pairs = []
-    for r in got:
-        rows, count = np.frombuffer(r["rows"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4")
-        pairs.append((rows, count / max(1, count.sum())))
+    pairs = [(np.frombuffer(r["rows"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in got]  # views, no copies
     return train(pairs, np.array([r["label"] for r in got], np.int64), **kwargs)
 
 
