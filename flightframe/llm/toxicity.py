@@ -146,7 +146,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 150, rat
     return w[:k], float(w[k]), risks
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 8000, max_features: int = 128, classifiers: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 5000, max_features: int = 128, classifiers: int = 3) -> Model:
     """labels(doc_id, label): rows that may be learned from; docs(doc_id, text): only its training fold."""
     labels = labels.where("doc_id is not null and label in (0, 1)")
     counts = labels.agg(F.sum("label"), F.count("*")).first()
