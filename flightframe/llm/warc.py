@@ -25,27 +25,42 @@ LINE_ELEMENTS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1
 #: Character references and what they stand for, the ampersand last.
 REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#34;": '"', "&nbsp;": " ", "&#160;": " ", "&middot;": "·", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 
-#: Patterns and replacements, in order; the same in Java and RE2.
+#: Patterns and replacements, in order; the same in Java and RE2.  Single spaces are left as they are.
 TEXT_STEPS = [
-    (r"(?is)<!--.*?-->|" + "|".join(rf"<{e}\b[^>]*>.*?</{e}{WHITE}*>" for e in SKIPPED), " "),
-    (WHITE + "+", " "),
+    (r"(?is)<(?:!--.*?--|" + "|".join(rf"{e}\b[^>]*>.*?</{e}{WHITE}*" for e in SKIPPED) + ")>", " "),
+    (WHITE + r"*[\t\r\n\f]" + WHITE + "*| {2,}", " "),
     (rf"(?i)</?(?:{LINE_ELEMENTS})\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 ]
-LINE_STEPS = [(r" *\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+LINE_STEP = (r" *\n[ \n]*", "\n")
 
 
-def text_of(html: Column) -> Column:
-    """Visible text of a page: comments and hidden elements out, one line per block, references resolved."""
+def resolved(text: Column) -> Column:
+    """Character references replaced, each looked up once: a piece after "&" begins with a name up to ";"."""
+    known = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
+
+    def piece(p: Column) -> Column:
+        name = F.concat(F.lit("&"), F.substring_index(p, ";", 1), F.lit(";"))
+        put = F.when(p.contains(";") & (F.instr(p, ";") <= 8), F.try_element_at(known, name))
+        return F.coalesce(F.concat(put, F.substr(p, F.instr(p, ";") + 1)), F.concat(F.lit("&"), p))
+
+    pieces = F.split(text, "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
+    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(pieces[0], F.array_join(rest, "")))
+
+
+def without_markup(html: Column) -> Column:
+    """Comments and hidden elements out, white space to single spaces, a line end per block element, other tags out."""
     for pattern, put in TEXT_STEPS:
         html = F.regexp_replace(html, pattern, put)
-    for name, put in REFERENCES.items():
-        html = F.replace(html, F.lit(name), F.lit(put))
-    for pattern, put in LINE_STEPS:
-        html = F.regexp_replace(html, pattern, put)
     return html
 
 
+def lines_of(text: Column) -> Column:
+    """References resolved, blanks around line ends and empty lines out."""
+    return F.btrim(F.regexp_replace(resolved(text), *LINE_STEP), F.lit(" \n"))
+
+
 def digest(text: Column) -> Column:
     """sha1 in base 32 with its label: 5 hexadecimal digits at a time become 4 digits of base 32."""
     code = F.sha1(text.cast("binary"))
@@ -78,8 +93,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.coalesce("http_header", F.lit("")).alias("http"),
         digest(html).alias("source_digest"),
         F.octet_length(html).cast("long").alias("source_length"),
-        text_of(html).alias("text"),
-    )
+        F.explode(F.array(without_markup(html))).alias("text"),  # made once; as a plain column each use would repeat it
+    ).withColumn("text", lines_of(F.col("text")))
     lines = F.filter(F.split("http", CRLF), lambda x: x.contains(":"))
     status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     fields = F.concat(
@@ -147,9 +162,8 @@ def _sql_text(html: str) -> str:
         html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
     for name, put in REFERENCES.items():
         html = f"replace({html}, {_quoted(name)}, {_quoted(put)})"
-    for pattern, put in LINE_STEPS:
-        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
-    return html
+    pattern, put = LINE_STEP
+    return f"trim(regexp_replace({html}, {_quoted(pattern)}, {_quoted(put)}, 'g'), ' ' || chr(10))"
 
 
 _SQL_DIGEST = "'sha1:' || translate(" + " || ".join(f"to_base(('0x' || substr(sha1(x), {5 * k + 1}, 5))::bigint, 32, 4)" for k in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
