@@ -213,6 +213,19 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(spark, frame(spark, texts, extra=True).limit(0)).count() == 0
 
 
+def test_line_dedup_links_groups_of_one_band(spark, monkeypatch):
+    # one band for all lines: families of two near lines, none near another family's; first few, then with more hubs
+    rng = np.random.default_rng(9)
+    lines = [f"{text_of(rng, 12)} {k}" for k in range(30)]
+    lines += [line + "!" for line in lines]
+    ids = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "id long, line string")
+    monkeypatch.setattr(line_dedup, "band_keys", lambda df: df.select("id", F.lit(1).cast("long").alias("key")))
+    for part in (256, 16):
+        monkeypatch.setattr(line_dedup, "PART", part, raising=False)
+        got = {frozenset((r.a, r.b)) for r in line_dedup.similar_lines(spark, ids).collect()}
+        assert got == {frozenset((k, k + 30)) for k in range(30)}
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = line_dedup.band_keys(line_dedup.document_lines(frame(spark, ["some line of text"])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
