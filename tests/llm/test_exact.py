@@ -75,6 +75,34 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.simhash_components(spark, frame(spark, texts).limit(0)).count() == 0
 
 
+def test_pipeline_drops_copies_with_edited_words(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(10)
+    base = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 300)) for _ in range(40)]
+    texts = list(base)
+    for n, b in enumerate(base):
+        words = b.split()
+        for k in rng.choice(300, n % 10, replace=False):
+            words[k] = "changed"
+        texts.append(" ".join(words))
+    texts += ["", None, "few words", "Few  words"]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    component = list(range(len(texts)))
+    for _ in range(3):
+        for a in range(len(texts)):
+            for b in range(a):
+                if 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b])):
+                    component[a] = component[b] = min(component[a], component[b])
+    assert 50 < len(set(component)) < 70
+    docs = frame(spark, texts).unionByName(spark.createDataFrame([(None, base[0])], "doc_id long, text string"))
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()]
+    assert got.count(None) == 1 and sorted(k for k in got if k is not None) == sorted(set(component))
+    split = {r.doc_id: r.component_id for r in simhash.near_copies(spark, docs, tile_rows=16).collect()}
+    assert [split[k] for k in range(len(texts))] == component
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_tiles_lose_no_link(spark):
     rng = np.random.default_rng(3)
     prints = rng.integers(-(1 << 63), 1 << 63, 300, dtype=np.int64)
