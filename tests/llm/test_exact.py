@@ -254,6 +254,24 @@ def test_line_dedup_links_groups_of_one_band(spark, monkeypatch):
         assert got == {frozenset((k, k + 30)) for k in range(30)}
 
 
+def test_bands_find_pairs_near_the_limit(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz    ")
+    lines = []
+    while len(lines) < 4000:
+        line = "".join(rng.choice(letters, rng.integers(75, 121)))
+        other = line[int(rng.integers(4, 10)) : len(line) - int(rng.integers(2, 6))]
+        x, y = ({s[k : k + 8] for k in range(len(s) - 7)} for s in (line, other))
+        if 0.8 <= len(x & y) / len(x | y) < 0.84:
+            lines += [line, other]
+    rows = line_dedup.band_keys(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()
+    keys = [set() for _ in lines]
+    for r in rows:
+        keys[r.id].add(r.key)
+    lost = sum(not keys[k] & keys[k + 1] for k in range(0, len(lines), 2))
+    assert lost <= 6  # of 2,000
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = line_dedup.band_keys(line_dedup.document_lines(frame(spark, ["some line of text"])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
