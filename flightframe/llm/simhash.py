@@ -174,7 +174,7 @@ def near_in_tiles(a: np.ndarray, b: np.ndarray, block: int = 256) -> tuple[np.nd
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows: int = 8192) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): components of texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-    All pairs of 128-bit fingerprints are compared by tiles, with a radius that at 0.8 (about 19 bits apart on average)
+    All pairs of 128-bit fingerprints are compared by tiles, with a radius that at 0.8 (about 19 bits apart on average) by estimate
     loses fewer than one pair in a thousand; each pair found is verified by the exact similarity of its shingle sets.
     Rows with a null doc_id are left out.
     """
