@@ -26,7 +26,7 @@ WORD_BITS, GRAM_BITS, GRAM = 16, 16, 3
 #: One row stands for every pair of equal words in a row, whatever the word.
 REPEAT = (1 << WORD_BITS) + (1 << GRAM_BITS)
 ROWS = REPEAT + 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

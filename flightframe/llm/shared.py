@@ -17,26 +17,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one if none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one if none is set.
+
+    A temporary folder is on one machine, so it will do on a local master only.
+    """
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         place = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(place)
         place = sc.getCheckpointDir()
     return place.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
-    A lost executor then costs at most the stage that runs, never the jobs that led to it.
+    A lost executor then costs at most the stage that runs, never the jobs that led to it.  done: tables written before
+    that nothing else reads from now on; their files go once df is whole.
     """
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for old in done:
+        forget(spark, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table that written() returned."""
+    files = df.inputFiles()
+    if files:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def schema_with(df: DataFrame, **added: str) -> StructType:
     """The schema of df and more columns, name=type."""
     schema = StructType(list(df.schema.fields))

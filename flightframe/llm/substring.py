@@ -3,13 +3,16 @@
 A window is 35 words in a row of one document.  Every document is cut into blocks of 18 words from its start, so each of
 its windows holds a whole block; the blocks of all documents are the index, and every rolling window of 18 words of
 every document probes it.  A hit at another place (another document, or elsewhere in the same one) is an anchor: the
-windows around it are compared by 96-bit hashes, and those whose words start twice or more are repeats.  Overlapping
-repeats of a document join to maximal spans; the words under them are removed.
+windows around it are compared, and those whose words start twice or more are repeats.  Anchors are candidates by rolling
+hashes; windows are compared by a cryptographic digest (BLAKE2b, 128 bits) of their words, joined by one space, so no two
+different windows count as equal.  Overlapping repeats of a document join to maximal spans; the words under them are
+removed.
 
 How the work is dealt: texts go through the tasks in slices of whole documents.  A slice sends, for each hash bucket,
 one packed row of hashes and positions (equal hashes of a slice once, so a passage that very many documents share is
 pre-aggregated), a bucket answers with the positions that hit, and a slice's answers meet its directory of documents.
-The number of buckets grows with the input, so a bucket keeps its size.  Texts themselves are only shuffled for
+The number of buckets and of the tasks that hold them grows with the input, so a bucket keeps its size; slices grow as
+well (up to a bound), so that a packed row keeps many entries.  Texts themselves are only shuffled for
 documents with anchors; a filter of fixed size keeps most others out of that join, which is exact.
 
 Null and empty texts, and texts below 35 words, lose nothing.  Rows that repeat a doc_id and text are separate
@@ -28,19 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightframe.llm.shared import table, text_slices, written
-from flightframe.llm.words import gram_hashes, word_hashes
+from flightframe.llm.words import gram_hashes, word_bounds, word_hashes
 
 WINDOW = 35
-SLICE = 256 << 10
+#: Bytes of a slice: at least, at most, and per bucket (some dozens of words for each).
+SLICE, MOST_SLICE, SLICE_PER_BUCKET = 256 << 10, 4 << 20, 384
+#: Bytes of text whose entries one task of the exchange holds.
+TASK_BYTES = 64 << 20
 #: Aimed at per bucket; a bucket is one group in one task.
 ENTRIES_PER_BUCKET = 2_000_000
 BYTES_PER_WORD = 6
 FILTER_BITS = 25
-SECOND_BASE = 0xD6E8FEB86659FD93
 
-#: Entries of the two rounds: 31 bits of an anchor's hash and a bit for "block"; 96 bits of a window's hash.
+#: Entries of the two rounds: 31 bits of an anchor's hash and a bit for "block"; 128 bits of a window's digest.
 ANCHOR = np.dtype([("a", "<u4")])
-EXACT = np.dtype([("a", "<u8"), ("b", "<u4")])
+EXACT = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 ROW = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 ROW_DDL = "bucket int, slice long, kind int, payload binary"
@@ -119,16 +124,16 @@ def _documents(group: pa.Table) -> pa.Table:
     )
 
 
-def _exchange(rows: DataFrame, entry: np.dtype, hits: Callable) -> DataFrame:
+def _exchange(rows: DataFrame, entry: np.dtype, hits: Callable, tasks: int) -> DataFrame:
     """Packed rows -> (doc_id, thash, at binary): little-endian word positions, once per distinct document row."""
-    answers = rows.groupBy("bucket").applyInArrow(_answers(entry, hits), "slice long, kind int, payload binary")
+    answers = rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_answers(entry, hits), "slice long, kind int, payload binary")
     found = answers.groupBy("slice").applyInArrow(_documents, DOC_DDL)
     return found.groupBy("doc_id", "thash").agg(F.first("at").alias("at"))
 
 
 def _first_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The index of one of each set of equal keys, and for every key whether it has an equal."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable") if keys.dtype.names is None else np.lexsort([keys[c] for c in reversed(keys.dtype.names)])
     new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
     size = np.diff(np.append(np.flatnonzero(new), len(keys)))
     several = np.empty(len(keys), bool)
@@ -136,13 +141,17 @@ def _first_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], several
 
 
+def slice_bytes(buckets: int) -> int:
+    return min(MOST_SLICE, max(SLICE, SLICE_PER_BUCKET * buckets))
+
+
 def anchor_rows(texts: DataFrame, buckets: int, window: int) -> DataFrame:
     """Round one: every rolling window of half a window's words, marked where it is one of the document's blocks."""
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in text_slices(batch, "text", SLICE):
+            for part, data, offsets in text_slices(batch, "text", slice_bytes(buckets)):
                 words, bounds = word_hashes(data, offsets)
                 grams, whole = gram_hashes(words, bounds, block)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))[: len(grams)]
@@ -175,32 +184,45 @@ def anchor_hits(keys: np.ndarray, _: np.ndarray) -> np.ndarray:
     return hit
 
 
+def window_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The digests of the windows that begin at the words `at`: of their words' bytes with one space between two words."""
+    kept, inside = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    inside = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
+    kept[ends] = True  # the byte after a word: white space, or the next text's first
+    kept[:-1] |= inside
+    place = np.concatenate(([0], np.cumsum(kept)))
+    plain = memoryview(np.where(inside, data, np.uint8(0x20))[kept[:-1]].tobytes())
+    digest = hashlib.blake2b
+    spans = zip(place[starts[at]].tolist(), place[ends[at + window - 1]].tolist(), strict=True)
+    return np.frombuffer(b"".join([digest(plain[i:j], digest_size=EXACT.itemsize).digest() for i, j in spans]), EXACT)
+
+
 def window_rows(texts: DataFrame, buckets: int, window: int) -> DataFrame:
     """Round two: the windows around anchors.  texts(doc_id, thash, text, at): word positions of the anchors."""
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in text_slices(batch, "text", SLICE):
-                words, bounds = word_hashes(data, offsets)
-                grams, whole = gram_hashes(words, bounds, window)
-                more, _ = gram_hashes(words, bounds, window, SECOND_BASE)
-                near = np.zeros(len(words) + 1, np.int32)
+            for part, data, offsets in text_slices(batch, "text", slice_bytes(buckets)):
+                starts, ends, bounds = word_bounds(data, offsets)
+                near = np.zeros(len(starts) + 1, np.int32)
                 for d, raw in enumerate(part.column("at").to_pylist()):
                     anchors = np.frombuffer(raw, "<u4").astype(np.int64) + bounds[d]
                     np.add.at(near, np.maximum(anchors - (window - block), bounds[d]), 1)
                     np.add.at(near, anchors + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[: len(grams)] > 0) & whole)
-                packed = np.empty(len(at), EXACT)
-                packed["a"], packed["b"] = grams[at], more[at] & np.uint64(0xFFFFFFFF)
-                one, several = _first_of_equal(packed)
-                yield _packed(part.select(["doc_id", "thash"]), bounds, ((grams[at[one]] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), packed[one], at[one], at[several], buckets)
+                whole = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(starts)) >= window
+                at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & whole)
+                keys = window_digests(data, starts, ends, at, window)
+                one, several = _first_of_equal(keys)
+                yield _packed(part.select(["doc_id", "thash"]), bounds, (keys["a"][one] % np.uint64(buckets)).astype(np.int64), keys[one], at[one], at[several], buckets)
 
     return texts.mapInArrow(run, ROW_DDL)
 
 
 def window_hits(keys: np.ndarray, _: np.ndarray) -> np.ndarray:
-    """Entries whose 96 bits come twice or more."""
+    """Entries whose digest comes twice or more."""
     order = np.lexsort((keys["b"], keys["a"]))
     a, b = keys["a"][order], keys["b"][order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -242,9 +264,10 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
     texts = keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-size // (BYTES_PER_WORD * ENTRIES_PER_BUCKET)))
-    anchors = written(spark, _exchange(anchor_rows(texts, buckets, window), ANCHOR, anchor_hits), "anchors")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    anchors = written(spark, _exchange(anchor_rows(texts, buckets, window), ANCHOR, anchor_hits, tasks), "anchors")
     near = written(spark, _with_positions(_maybe_in(texts, anchors), anchors), "anchored")
-    starts = written(spark, _exchange(window_rows(near, buckets, window), EXACT, window_hits), "repeats")
+    starts = written(spark, _exchange(window_rows(near, buckets, window), EXACT, window_hits, tasks), "repeats")
     return near.select("doc_id", "thash", "text"), starts
 
 
