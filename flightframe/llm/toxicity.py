@@ -1,19 +1,19 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives, all other text is unlabelled: documents without a toxic mark are never
-taken as clean.  The risk of a classifier f under the logistic loss l, with class prior p, is
+Confirmed toxic documents are the positives, all text of the training fold is unlabelled: documents without a toxic mark
+are never taken as clean.  The risk of a classifier f under the logistic loss l, with class prior p, is
 
     p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)])
 
-and is minimised by mini-batch Adam steps in numpy; where the bracket falls below zero it counts as zero and has no
-gradient, so the classifier can't gain by taking unlabelled text for clean beyond what the prior allows.  Several linear
-classifiers over words are trained with different batches and their logits averaged.
+and is minimised by Adam steps in numpy; where the bracket falls below zero it counts as zero and has no gradient, so the
+classifier can't gain by taking unlabelled text for clean beyond what the prior allows.  Each step takes the risk and its
+gradient over all unlabelled documents: Spark sums them over packed rows of bits, and one row per task comes back.
 
-Positives and unlabelled documents are bounded samples (hash order) of the training fold; the prior is the share of
-toxic marks among all labels of that fold.  Words are runs of letters and digits, A-Z lower-cased.  A token is a word or
-a word's beginning (5 to 9 bytes); a document has up to two features of a token: it is there, and it makes at least one
-in 128 of the words.  Kept are the features whose document frequency among positives stands out most from that among
-unlabelled documents.
+Positives are a bounded sample (hash order) of the training fold's toxic marks; the prior is the share of toxic marks
+among all labels of that fold.  Words are runs of letters and digits, A-Z lower-cased.  A token is a word or a word's
+beginning (5 to 9 bytes); a document has up to two features of a token: it is there, and it makes at least one in 128 of
+the words.  Document frequencies are counted over all documents of the fold; kept are the features whose frequency among
+positives stands out most from that among all.
 
 Null and empty texts have no words and score as the bias alone.  Rows with a null doc_id are scored and not held out.
 Without positives every score is the prior, which is 0 if there are no labels.
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from flightframe.llm.folds import remainder, sample
 from flightframe.llm.quality import training_labels
-from flightframe.llm.shared import schema_with, table, text_slices
+from flightframe.llm.shared import forget, schema_with, table, text_slices, written
 from flightframe.llm.words import LETTERS, LOWER, mix, span_hashes, word_bounds
 
-SLICE = 4 << 20
-
+SLICE = 1 << 20
+#: Feature counts that a task holds before it sends them on.
+MOST_COUNTED = 1 << 21
 
 #: Lengths in bytes of the word beginnings that are tokens, and the share of a document's words that counts as dense.
 BEGINNINGS = range(5, 10)
@@ -86,67 +87,121 @@ def feature_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def document_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(positive int, features binary) of the chosen documents; chosen is bounded, so it is broadcast."""
+def marked(docs: DataFrame, positives: DataFrame) -> DataFrame:
+    """(positive boolean, text binary) of docs; positives(doc_id) is bounded, so it is broadcast."""
+    known = F.broadcast(positives.select(F.col("doc_id").alias("__id")).distinct())
+    joined = docs.join(known, F.col("doc_id") == F.col("__id"), "left")
+    return joined.select(F.col("__id").isNotNull().alias("positive"), F.col("text").cast("binary").alias("text"))
+
+
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """texts(positive, text) -> (feature long, n_pos, n_all): documents with each feature; tasks count before they send."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(total[0].view(np.int64)), pa.array(total[1]), pa.array(total[2])], ["feature", "n_pos", "n_all"])
+
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text", SLICE):
-                sets = [x.tobytes() for x in feature_sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(sets, pa.binary())], ["positive", "features"])
+                sets = feature_sets(data, offsets)
+                positive = np.repeat(np.asarray(part.column("positive")), [len(x) for x in sets])
+                every = np.concatenate((total[0], *sets))
+                found, at = np.unique(every, return_inverse=True)
+                n_pos = np.bincount(at, np.concatenate((total[1], positive)), len(found))
+                n_all = np.bincount(at, np.concatenate((total[2], np.ones(len(positive)))), len(found))
+                total = (found, n_pos.astype(np.int64), n_all.astype(np.int64))
+                if len(found) > MOST_COUNTED:
+                    yield sent()
+                    total = tuple(x[:0] for x in total)
+        yield sent()
+
+    parts = texts.mapInArrow(run, "feature long, n_pos long, n_all long")
+    return parts.groupBy("feature").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_all").alias("n_all"))
+
+
+def select_features(counts: DataFrame, positives: int, documents: int, most: int, least: int = 3) -> np.ndarray:
+    """The features with the largest standardised difference of document frequency, in at least `least` positives."""
+    both = (F.col("n_pos") + F.col("n_all")) / (positives + documents)
+    z = (F.col("n_pos") / positives - F.col("n_all") / documents) / F.sqrt(both * (1 - both) * (1 / positives + 1 / documents) + 1e-12)
+    best = counts.where(F.col("n_pos") >= least).select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(most)
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(np.uint64))
 
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return joined.select("positive", "text").mapInArrow(run, "positive int, features binary")
 
+def known_bits(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """texts(positive, text) -> (positive, bits binary): which of the known features each document has."""
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int, least: int = 3) -> np.ndarray:
-    """The features with the largest standardised difference of document frequency, in at least `least` positives."""
-    words, n_pos = np.unique(np.concatenate(positive), return_counts=True)
-    words, n_pos = words[n_pos >= least], n_pos[n_pos >= least]
-    other, n_other = np.unique(np.concatenate(unlabelled), return_counts=True) if unlabelled else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    n_unl = np.zeros(len(words))
-    if len(other):
-        at = np.minimum(np.searchsorted(other, words), len(other) - 1)
-        n_unl = np.where(other[at] == words, n_other[at], 0)
-    p, u = n_pos / len(positive), n_unl / max(1, len(unlabelled))
-    both = (n_pos + n_unl) / (len(positive) + len(unlabelled))
-    z = (p - u) / np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / max(1, len(unlabelled))) + 1e-12)
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(words[best])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text", SLICE):
+                rows = [np.packbits(np.isin(known, x, assume_unique=True)).tobytes() for x in feature_sets(data, offsets)]
+                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(rows, pa.binary())], ["positive", "bits"])
+
+    return texts.mapInArrow(run, "positive boolean, bits binary")
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 150, rate: float = 0.05, batch: int = 2048, decay: float = 1e-2, seed: int = 1) -> tuple[np.ndarray, float, list[float]]:
-    """Weights, bias and the risk after each epoch.  pos, unl: 0/1 rows.  Adam steps; decay shrinks the weights' size."""
-    rng = np.random.default_rng(seed)
-    k = pos.shape[1]
-    w = np.zeros(k + 1)
-    m, v, t, risks = np.zeros(k + 1), np.zeros(k + 1), 0, []
-    steps = max(1, -(-len(unl) // batch))
-    for _ in range(epochs):
-        ip, iu = rng.permutation(len(pos)), rng.permutation(len(unl))
-        total = 0.0
-        for p, u in zip(np.array_split(np.resize(ip, max(len(ip), steps)), steps), np.array_split(iu, steps), strict=True):
-            fp, fu = pos[p] @ w[:k] + w[k], unl[u] @ w[:k] + w[k]
-            bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            total += prior * np.logaddexp(0, -fp).mean() + max(0.0, bracket)
-            g_pos = prior * -_logistic(-fp) / len(p)
-            g_unl, g_pos_neg = _logistic(fu) / len(u), -prior * _logistic(fp) / len(p)
-            gp, gu = (g_pos + g_pos_neg, g_unl) if bracket >= 0 else (g_pos, np.zeros(len(u)))
-            now = rate * (1 - t / (epochs * steps))
-            g = np.append(gp @ pos[p] + gu @ unl[u], gp.sum() + gu.sum())
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w[:k] = np.sign(w[:k]) * np.maximum(0, np.abs(w[:k]) - now * decay)
-        risks.append(total / steps)
-    return w[:k], float(w[k]), risks
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 5000, max_features: int = 128, classifiers: int = 3) -> Model:
+def risk_sums(x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows x (0/1, last column 1), for each of three losses its sum and gradient:
+
+    l(f) and l(-f) of the positives, l(-f) of all.  Shape (3, 1 + len(w)).
+    """
+    f = x @ w
+    p = positive.astype(np.float64)
+    losses = np.stack((np.logaddexp(0, -f) * p, np.logaddexp(0, f) * p, np.logaddexp(0, f)))
+    slopes = np.stack((-_logistic(-f) * p, _logistic(f) * p, _logistic(f)))
+    return np.concatenate((losses.sum(axis=1, keepdims=True), slopes @ x), axis=1)
+
+
+def total_sums(rows: DataFrame, features: int, w: np.ndarray) -> np.ndarray:
+    """risk_sums over all rows(positive, bits); one row of sums a task comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 1 + len(w)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                raw = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                x = np.ones((part.num_rows, features + 1))
+                x[:, :features] = np.unpackbits(raw, axis=1, count=features)
+                total += risk_sums(x, np.asarray(part.column("positive")), w)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    got = sorted(bytes(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect())
+    return sum((np.frombuffer(x).reshape(3, -1) for x in got), np.zeros((3, 1 + len(w))))
+
+
+def non_negative_risk(sums: np.ndarray, positives: int, documents: int, prior: float) -> tuple[float, np.ndarray]:
+    """The risk and its gradient from sums over all rows."""
+    pos, pos_neg, unl = sums[0] / positives, sums[1] / positives, sums[2] / documents
+    bracket = unl - prior * pos_neg
+    both = prior * pos + (bracket if bracket[0] >= 0 else 0)
+    return float(both[0]), both[1:]
+
+
+def train(sums, features: int, positives: int, documents: int, prior: float, steps: int = 30, rate: float = 0.3, decay: float = 5e-2) -> tuple[np.ndarray, float, list[float]]:
+    """Weights, bias and the risk before each step.  sums: weights with the bias last -> risk_sums over all rows.
+
+    Adam steps with a rate that falls to zero; decay shrinks the weights' size after each.
+    """
+    w = np.zeros(features + 1)
+    w[features] = np.log((prior + 1e-6) / (1 - prior + 1e-6))
+    m, v, risks = np.zeros(features + 1), np.zeros(features + 1), []
+    for t in range(1, steps + 1):
+        risk, g = non_negative_risk(sums(w), positives, documents, prior)
+        risks.append(risk)
+        now = rate * (1 - (t - 1) / steps)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w[:features] = np.sign(w[:features]) * np.maximum(0, np.abs(w[:features]) - now * decay)
+    return w[:features], float(w[features]), risks
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_positive: int = 10_000, max_features: int = 256, **kwargs) -> Model:
     """labels(doc_id, label): rows that may be learned from; docs(doc_id, text): only its training fold."""
     labels = labels.where("doc_id is not null and label in (0, 1)")
     counts = labels.agg(F.sum("label"), F.count("*")).first()
@@ -154,23 +209,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabe
     none = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))), prior)
     if not counts[0]:
         return none
-    toxic = sample(labels.where("label = 1").select("doc_id").distinct(), max_positive).select("doc_id", F.lit(1).alias("positive"))
-    other = sample(docs.where("doc_id is not null").select("doc_id"), max_unlabelled).select("doc_id", F.lit(0).alias("positive"))
-    got = document_features(docs, toxic.unionByName(other)).collect()
-    rows = sorted((r["positive"], bytes(r["features"])) for r in got)
-    positive, unlabelled = ([np.frombuffer(x, np.uint64) for kind, x in rows if kind == k] for k in (1, 0))
-    if not positive or not unlabelled:
+    texts = marked(docs.where("doc_id is not null"), sample(labels.where("label = 1").select("doc_id").distinct(), max_positive))
+    size = texts.agg(F.count_if("positive"), F.count("*")).first()
+    if not size[0]:
         return none
-    known = select_features(positive, unlabelled, max_features)
+    found = written(spark, feature_counts(texts), "features")
+    known = select_features(found, *size, max_features)
     if not len(known):
         return none
-
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        return np.stack([np.isin(known, s, assume_unique=True) for s in sets]).astype(np.float64)
-
-    pos, unl = matrix(positive), matrix(unlabelled)
-    fits = [train(pos, unl, prior, seed=k) for k in range(classifiers)]
-    return Model(known, np.mean([w for w, _, _ in fits], axis=0), float(np.mean([b for _, b, _ in fits])), prior, fits[0][2])
+    rows = written(spark, known_bits(texts, known), "bits", found)
+    weights, bias, risks = train(lambda w: total_sums(rows, len(known), w), len(known), *size, prior, **kwargs)
+    forget(spark, rows)
+    return Model(known, weights, bias, prior, risks)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -205,5 +255,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = training_labels(table(spark, sf_dir, "labels"), "toxic", 3, 1)
-    model = fit(docs.where(remainder(3) != 1), labels)
+    model = fit(spark, docs.where(remainder(3) != 1), labels)
     return score(docs, model).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
