@@ -1,9 +1,14 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
 Every response gives one metadata record (application/warc-fields) and one conversion record (text/plain).  Both name
-the response in WARC-Refers-To and keep its target and date; the metadata record preserves the source's HTTP headers
-and payload digest.  Digests are sha1 in base 32, as is usual in WARC files; record ids are name-based, so a second run
-gives the same records.
+the response in WARC-Refers-To and each other in WARC-Concurrent-To, and keep the response's target and date; the
+metadata record preserves the source's HTTP headers and payload digest.  Digests are sha1 in base 32, as is usual in WARC
+files; a derived record's payload is its block.  Record ids are name-based, so a second run gives the same records.
+
+Text is what HTML's tokens leave: tags end where attribute values in quotes allow, comments and hidden elements go (an
+unclosed head, noscript or template hides nothing; an unclosed script or style, comment or tag reaches to the end of the
+page), all character references are resolved, white space becomes single spaces, and elements that begin or end a line
+make line ends.  The time grows with the length of a page, whatever is in it.
 
 Null payloads count as empty, null targets leave out the target line, null headers give no source lines.  Repeated
 responses give repeated records; extra columns are left out; an empty table gives no records.
@@ -11,54 +16,90 @@ responses give repeated records; extra columns are left out; an empty table give
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightframe.llm.shared import table
-
-CRLF = "\r\n"
-WHITE = r"[ \t\r\n\f]"
-
-#: Elements that hold no text, and elements that begin or end a line.
-SKIPPED = ["head", "script", "style", "noscript", "template"]
-LINE_ELEMENTS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-#: Character references and what they stand for, the ampersand last.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#34;": '"', "&nbsp;": " ", "&#160;": " ", "&middot;": "·", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
-
-#: Patterns and replacements, in order; the same in Java and RE2.  Single spaces are left as they are.
-TEXT_STEPS = [
-    (r"(?is)<(?:!--.*?--|" + "|".join(rf"{e}\b[^>]*>.*?</{e}{WHITE}*" for e in SKIPPED) + ")>", " "),
-    (WHITE + r"*[\t\r\n\f]" + WHITE + "*| {2,}", " "),
-    (rf"(?i)</?(?:{LINE_ELEMENTS})\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
-]
-LINE_STEP = (r" *\n[ \n]*", "\n")
-
-
-def resolved(text: Column) -> Column:
-    """Character references replaced, each looked up once: a piece after "&" begins with a name up to ";"."""
-    known = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
-
-    def piece(p: Column) -> Column:
-        name = F.concat(F.lit("&"), F.substring_index(p, ";", 1), F.lit(";"))
-        put = F.when(p.contains(";") & (F.instr(p, ";") <= 8), F.try_element_at(known, name))
-        return F.coalesce(F.concat(put, F.substr(p, F.instr(p, ";") + 1)), F.concat(F.lit("&"), p))
+from flightframe.llm.shared import schema_with, table, text_slices
 
-    pieces = F.split(text, "&")
-    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece)
-    return F.when(F.instr(text, "&") == 0, text).otherwise(F.concat(pieces[0], F.array_join(rest, "")))
-
-
-def without_markup(html: Column) -> Column:
-    """Comments and hidden elements out, white space to single spaces, a line end per block element, other tags out."""
-    for pattern, put in TEXT_STEPS:
-        html = F.regexp_replace(html, pattern, put)
-    return html
+#: Bytes of pages that are converted at once.
+SLICE = 1 << 20
 
+CRLF = "\r\n"
 
-def lines_of(text: Column) -> Column:
-    """References resolved, blanks around line ends and empty lines out."""
-    return F.btrim(F.regexp_replace(resolved(text), *LINE_STEP), F.lit(" \n"))
+#: Elements that hold no text (two of them no elements either), and elements that begin or end a line.
+RAW, HIDDEN = {"script", "style"}, {"head", "noscript", "template"}
+LINE_ELEMENTS = set("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
+#: A tag's name; the rest of a tag: values in quotes hide its end.
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+>""")
+_RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>])") for name in RAW}
+_WHITE, _LINES = re.compile(r"[ \t\r\n\f]+"), re.compile(r" ?\n[ \n]*")
+
+
+def html_tokens(page: str) -> Iterator[tuple[str, str]]:
+    """("text", characters), ("start", name) and ("end", name) in order; comments and the text of scripts are left out."""
+    at = 0
+    while (i := page.find("<", at)) >= 0:
+        if i > at:
+            yield "text", page[at:i]
+        if name := _NAME.match(page, i + 1):
+            rest = _REST.match(page, name.end())
+            if not rest:
+                return
+            kind, word, at = "end" if page[i + 1] == "/" else "start", name[1].lower(), rest.end()
+            yield kind, word
+            if kind == "start" and word in RAW:
+                end = _RAW_END[word].search(page, at)
+                if not end:
+                    return
+                at = end.start()
+        elif page.startswith(("<!", "<?", "</"), i):
+            comment = page.startswith("<!--", i)
+            mark = "-->" if comment and not page.startswith((">", "->"), i + 4) else ">"
+            end = page.find(mark, i + 4 if comment else i + 2)
+            if end < 0:
+                return
+            at = end + len(mark)
+        else:
+            yield "text", "<"
+            at = i + 1
+    yield "text", page[at:]
+
+
+def page_text(page: str) -> str:
+    """The text of a page, one line per block of text."""
+    tokens = list(html_tokens(page))
+    last = {word: k for k, (kind, word) in enumerate(tokens) if kind == "end" and word in HIDDEN}
+    parts, hidden = [], ""
+    for k, (kind, word) in enumerate(tokens):
+        if hidden:
+            hidden = "" if kind == "end" and word == hidden else hidden
+        elif kind == "text":
+            parts.append(_WHITE.sub(" ", html.unescape(word) if "&" in word else word))
+        elif word in HIDDEN and kind == "start" and last.get(word, -1) > k:
+            hidden = word
+        elif word in LINE_ELEMENTS:
+            parts.append("\n")
+    return _LINES.sub("\n", re.sub(" {2,}", " ", "".join(parts))).strip(" \n")
+
+
+def with_text(responses: DataFrame) -> DataFrame:
+    """responses(.., payload) with text string in place of payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in text_slices(batch, "payload", SLICE):
+                texts = pa.array([page_text(p or "") for p in part.column("payload").to_pylist()], pa.string())
+                rest = [c for c in part.schema.names if c != "payload"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), texts], [*rest, "text"])
+
+    return responses.mapInArrow(run, schema_with(responses.drop("payload"), text="string"))
 
 
 def digest(text: Column) -> Column:
@@ -82,19 +123,21 @@ def _line(name: str, value: Column) -> Column:
 def derivatives(responses: DataFrame) -> DataFrame:
     """responses(record_id, target_uri, date, http_header, payload; strings) -> one row per derived record.
 
-    (refers_to, target_uri, warc_date, warc_type, record_id, content_type, content_length long, block_digest,
-    source_digest, block): http_header has the status line and headers, separated by CRLF.
+    (refers_to, target_uri, warc_date, warc_type, record_id, concurrent_to, content_type, content_length long,
+    block_digest, payload_digest, source_digest, block): http_header has the status line and headers, separated by CRLF.
     """
-    html = F.coalesce("payload", F.lit(""))
-    base = responses.select(
-        F.col("record_id").alias("refers_to"),
-        "target_uri",
-        F.col("date").alias("warc_date"),
-        F.coalesce("http_header", F.lit("")).alias("http"),
-        digest(html).alias("source_digest"),
-        F.octet_length(html).cast("long").alias("source_length"),
-        F.explode(F.array(without_markup(html))).alias("text"),  # made once; as a plain column each use would repeat it
-    ).withColumn("text", lines_of(F.col("text")))
+    payload = F.coalesce("payload", F.lit(""))
+    base = with_text(
+        responses.select(
+            F.col("record_id").alias("refers_to"),
+            "target_uri",
+            F.col("date").alias("warc_date"),
+            F.coalesce("http_header", F.lit("")).alias("http"),
+            digest(payload).alias("source_digest"),
+            F.octet_length(payload).cast("long").alias("source_length"),
+            "payload",
+        )
+    )
     lines = F.filter(F.split("http", CRLF), lambda x: x.contains(":"))
     status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     fields = F.concat(
@@ -109,11 +152,15 @@ def derivatives(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
     rows = base.select("refers_to", "target_uri", "warc_date", "source_digest", F.inline(kinds))
+    ids = {kind: record_id(kind, F.col("refers_to")) for kind in ("metadata", "conversion")}
+    block_digest = digest(F.col("block"))
     return rows.select(
         "*",
-        F.when(F.col("warc_type") == "metadata", record_id("metadata", F.col("refers_to"))).otherwise(record_id("conversion", F.col("refers_to"))).alias("record_id"),
+        F.when(F.col("warc_type") == "metadata", ids["metadata"]).otherwise(ids["conversion"]).alias("record_id"),
+        F.when(F.col("warc_type") == "metadata", ids["conversion"]).otherwise(ids["metadata"]).alias("concurrent_to"),
         F.octet_length("block").cast("long").alias("content_length"),
-        digest(F.col("block")).alias("block_digest"),
+        block_digest.alias("block_digest"),
+        block_digest.alias("payload_digest"),
     )
 
 
@@ -124,9 +171,11 @@ def serialised(records: DataFrame) -> DataFrame:
         _line("WARC-Type", F.col("warc_type")),
         _line("WARC-Record-ID", F.col("record_id")),
         _line("WARC-Refers-To", F.col("refers_to")),
+        _line("WARC-Concurrent-To", F.col("concurrent_to")),
         _line("WARC-Target-URI", F.col("target_uri")),
         _line("WARC-Date", F.col("warc_date")),
         _line("WARC-Block-Digest", F.col("block_digest")),
+        _line("WARC-Payload-Digest", F.col("payload_digest")),
         _line("Content-Type", F.col("content_type")),
         _line("Content-Length", F.col("content_length")),
         F.lit(CRLF),
@@ -157,13 +206,24 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _sql_text(html: str) -> str:
-    for pattern, put in TEXT_STEPS:
-        html = f"regexp_replace({html}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
-    for name, put in REFERENCES.items():
-        html = f"replace({html}, {_quoted(name)}, {_quoted(put)})"
-    pattern, put = LINE_STEP
-    return f"trim(regexp_replace({html}, {_quoted(pattern)}, {_quoted(put)}, 'g'), ' ' || chr(10))"
+#: Patterns for the text of pages as they are in the pages table: comments between elements, no end of a tag in a value
+#: in quotes, and references of these names only.
+_W = r"[ \t\r\n\f]"
+_SQL_STEPS = [
+    (r"(?is)<(?:!--.*?--|" + "|".join(rf"{e}\b[^>]*>.*?</{e}{_W}*" for e in sorted(RAW | HIDDEN)) + ")>", " "),
+    (_W + r"*[\t\r\n\f]" + _W + "*| {2,}", " "),
+    (r"(?i)</?(?:" + "|".join(sorted(LINE_ELEMENTS)) + r")\b[^>]*>", "\n"),
+    (r"<[^>]*>", ""),
+]
+_SQL_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+
+
+def _sql_text(page: str) -> str:
+    for pattern, put in _SQL_STEPS:
+        page = f"regexp_replace({page}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    for name, put in _SQL_REFERENCES.items():
+        page = f"replace({page}, {_quoted(name)}, {_quoted(put)})"
+    return f"trim(regexp_replace({page}, ' *\n[ \n]*', '\n', 'g'), ' ' || chr(10))"
 
 
 _SQL_DIGEST = "'sha1:' || translate(" + " || ".join(f"to_base(('0x' || substr(sha1(x), {5 * k + 1}, 5))::bigint, 32, 4)" for k in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
@@ -191,10 +251,11 @@ records as (
     union all
     select refers_to, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8', text from base),
 named as (
-    select *, '{CAPTURED}' as warc_date, {_sql_id("warc_type || '|' || refers_to")} as record_id, strlen(block) as content_length, {_sql_digest('block')} as block_digest
+    select *, '{CAPTURED}' as warc_date, {_sql_id("warc_type || '|' || refers_to")} as record_id, {_sql_id("case warc_type when 'metadata' then 'conversion' else 'metadata' end || '|' || refers_to")} as concurrent_to,
+        strlen(block) as content_length, {_sql_digest('block')} as block_digest, {_sql_digest('block')} as payload_digest
     from records)
-select *, 'WARC/1.1' || {_END} || 'WARC-Type: ' || warc_type || {_END} || 'WARC-Record-ID: ' || record_id || {_END} || 'WARC-Refers-To: ' || refers_to || {_END}
-    || coalesce('WARC-Target-URI: ' || replace(replace(target_uri, chr(13), ' '), chr(10), ' ') || {_END}, '') || 'WARC-Date: ' || warc_date || {_END} || 'WARC-Block-Digest: ' || block_digest || {_END}
+select *, 'WARC/1.1' || {_END} || 'WARC-Type: ' || warc_type || {_END} || 'WARC-Record-ID: ' || record_id || {_END} || 'WARC-Refers-To: ' || refers_to || {_END} || 'WARC-Concurrent-To: ' || concurrent_to || {_END}
+    || coalesce('WARC-Target-URI: ' || replace(replace(target_uri, chr(13), ' '), chr(10), ' ') || {_END}, '') || 'WARC-Date: ' || warc_date || {_END} || 'WARC-Block-Digest: ' || block_digest || {_END} || 'WARC-Payload-Digest: ' || payload_digest || {_END}
     || 'Content-Type: ' || content_type || {_END} || 'Content-Length: ' || content_length || {_END} || {_END} as header
 from named
 """
