@@ -1,14 +1,17 @@
 """Telephony audio in media columns: mu-law, A-law and IMA ADPCM in WAV containers, expanded to resampled PCM.
 
 A media column holds whole WAV files as binary.  Null or empty texts make one silent unit of 64 zero bytes; equal
-payloads make equal media and features; an empty table gives an empty result.
+payloads make equal media and features; an empty table gives an empty result.  Null media, and media that is no WAV file
+of a known code, has null PCM, payload and feature.  Channels are kept (ADPCM: mono only).
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 
 from flightframe.llm.shared import schema_with, table, text_slices
 
-RATE = 8000
+RATE, PCM_RATE = 8000, 16000
 UNIT = 64
+SLICE = 1 << 20
 
 #: Format tags of WAV files.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 0x0001, 0x0006, 0x0007, 0x0011
@@ -82,124 +86,194 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(pcm: np.ndarray, factor: int = 2) -> np.ndarray:
-    """Linear interpolation to factor times the rate, in whole numbers; the last sample is held."""
+def resample(pcm: np.ndarray, source: int, target: int) -> np.ndarray:
+    """Linear interpolation of frames (n, channels) from one rate to another, in whole numbers; the last frame is held."""
     if not len(pcm):
         return pcm.astype("<i2")
     wide = pcm.astype(np.int32)
-    step = np.append(wide[1:], wide[-1]) - wide
-    return (wide[:, None] + step[:, None] * np.arange(factor)[None, :] // factor).astype("<i2").ravel()
+    step = np.diff(wide, axis=0, append=wide[-1:])
+    if target % source == 0:
+        factor = target // source
+        return (wide[:, None] + step[:, None] * np.arange(factor)[None, :, None] // factor).astype("<i2").reshape(-1, pcm.shape[1])
+    place = np.arange(len(pcm) * target // source, dtype=np.int64) * source
+    at, part = place // target, (place % target)[:, None]
+    return (wide[at] + step[at].astype(np.int64) * part // target).astype("<i2")
 
 
-def to_wav(payload: bytes, tag: int, rate: int = RATE) -> bytes:
-    """A mono WAV file around samples that are already coded."""
+def to_wav(payload: bytes, tag: int, rate: int = RATE, channels: int = 1) -> bytes:
+    """A WAV file around samples that are already coded."""
     if tag == IMA_ADPCM:
         per_block = 2 * UNIT - 7
         form = struct.pack("<HHIIHHHH", tag, 1, rate, rate * UNIT // per_block, UNIT, 4, 2, per_block)
     else:
         width = 2 if tag == PCM else 1
-        form = struct.pack("<HHIIHHH", tag, 1, rate, rate * width, width, 8 * width, 0)
+        form = struct.pack("<HHIIHHH", tag, channels, rate, rate * width * channels, width * channels, 8 * width, 0)
     pad = b"\0" * (len(payload) % 2)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(payload)) + payload + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def from_wav(media: bytes) -> tuple[int, int, int, bytes]:
-    """Format tag, rate, block size and payload of a WAV file."""
-    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
-    at, tag, rate, block = 12, 0, 0, 1
+class Wav(NamedTuple):
+    tag: int
+    channels: int
+    rate: int
+    block: int
+    payload: bytes
+
+
+def from_wav(media: bytes | None) -> Wav | None:
+    """The parts of a WAV file; None for null, other or broken media, and for codes, sizes and channels not known here."""
+    if media is None or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
     while at + 8 <= len(media):
         kind, n = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if kind == b"fmt ":
-            tag, _, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
-        elif kind == b"data":
-            return tag, rate, block, media[at + 8 : at + 8 + n]
+        if kind == b"fmt " and n >= 16 and at + 24 <= len(media):
+            form = struct.unpack_from("<HHIIHH", media, at + 8)
+        elif kind == b"data" and form:
+            tag, channels, rate, _, block, bits = form
+            good = {PCM: bits == 16, A_LAW: bits == 8, MU_LAW: bits == 8, IMA_ADPCM: bits == 4 and channels == 1 and block > 4}.get(tag)
+            return Wav(tag, channels, rate, block, media[at + 8 : at + 8 + n]) if good and channels and rate else None
         at += 8 + n + n % 2
-    raise ValueError("a WAV file without data")
+    return None
 
 
-def expand(payload: bytes, tag: int, block: int) -> np.ndarray:
-    """16-bit samples of a coded payload."""
-    if tag == PCM:
-        return np.frombuffer(payload, "<i2")
-    codes = np.frombuffer(payload, np.uint8)
-    if tag == IMA_ADPCM:
-        return decode_adpcm(codes[: len(codes) // block * block].reshape(-1, block)).ravel()
-    return {MU_LAW: MU, A_LAW: A}[tag][codes]
+def expanded(files: list[Wav | None]) -> list[np.ndarray | None]:
+    """16-bit frames (n, channels) of each file; what is left of a last frame or block that is not whole is not heard.
+
+    ADPCM blocks of one size are decoded together, whichever files they are from.
+    """
+    out: list[np.ndarray | None] = [None] * len(files)
+    blocks: dict[int, list[int]] = {}
+    for k, file in enumerate(files):
+        if file is None:
+            continue
+        if file.tag == IMA_ADPCM:
+            blocks.setdefault(file.block, []).append(k)
+            continue
+        codes = np.frombuffer(file.payload, np.uint8)
+        pcm = codes[: len(codes) // 2 * 2].view("<i2") if file.tag == PCM else (MU if file.tag == MU_LAW else A)[codes]
+        out[k] = pcm[: len(pcm) // file.channels * file.channels].reshape(-1, file.channels)
+    for size, rows in blocks.items():
+        codes = [np.frombuffer(files[k].payload, np.uint8) for k in rows]
+        for k, pcm in zip(rows, decoded_units(codes, size), strict=True):
+            out[k] = pcm[:, None]
+    return out
+
+
+def decoded_units(codes: list[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """The ADPCM samples of each array of bytes, its whole blocks decoded together with the others', so many at a time."""
+    counts = [len(c) // size for c in codes]
+    blocks = np.concatenate([c[: n * size] for c, n in zip(codes, counts, strict=True)]).reshape(-1, size)
+    pcm = np.concatenate([decode_adpcm(blocks[k : k + 16384]) for k in range(0, max(1, len(blocks)), 16384)])
+    at = 0
+    for n in counts:
+        yield pcm[at : at + n].ravel()
+        at += n
+
+
+def media_of(texts: list[bytes], tag: int) -> list[bytes]:
+    """Each text's bytes, zeros up to a positive multiple of 64, as the coded samples of a WAV file."""
+    return [to_wav(t + bytes(max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)), tag) for t in texts]
+
+
+def pcm_of(media: list[bytes | None], rate: int) -> list[bytes | None]:
+    """Each WAV file expanded and resampled, as a PCM WAV file; None where the media can't be read."""
+    files = [from_wav(m) for m in media]
+    return [to_wav(resample(pcm, f.rate, rate).tobytes(), PCM, rate, f.channels) if f else None for f, pcm in zip(files, expanded(files), strict=True)]
+
+
+def _loudness(name: str, pcm: np.ndarray) -> str:
+    wide = np.abs(pcm.astype(np.int32))
+    peak, mean = (int(wide.max()), int(wide.sum(dtype=np.int64)) // len(pcm)) if len(pcm) else (0, 0)
+    return f"{name}:n={len(pcm)},peak={peak},mean={mean},crossings={np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))}"
+
+
+def features_of(media: list[bytes | None], pcm_media: list[bytes | None]) -> tuple[list[bytes | None], list[str | None]]:
+    """The payloads read back, and features of both files; None where either can't be read.
+
+    A feature has count, peak, mean size and zero crossings of the payload's samples under each telephony code (its whole
+    units of 64 bytes are also ADPCM blocks), and number and checksum of the samples of the stored PCM file.
+    """
+    files, stored = [from_wav(m) for m in media], [from_wav(m) for m in pcm_media]
+    codes = [np.frombuffer(f.payload if f else b"", np.uint8) for f in files]
+    features: list[str | None] = []
+    for file, pcm, code, adpcm in zip(files, stored, codes, decoded_units(codes, UNIT), strict=True):
+        parts = (_loudness("mu", MU[code]), _loudness("a", A[code]), _loudness("adpcm", adpcm))
+        features.append(";".join((*parts, f"pcm:n={len(pcm.payload) // 2},rate={pcm.rate},crc={zlib.crc32(pcm.payload):08x}")) if file and pcm else None)
+    return [f.payload if f else None for f in files], features
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Runs of rows with a bounded size, and the values of a binary column."""
+    for batch in batches:
+        for rows, _, _ in text_slices(batch, column, SLICE):
+            yield rows, rows.column(column).to_pylist()
+
+
+def _with(rows: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, *columns.values()], [*rows.schema.names, *columns])
 
 
 def text_media(docs: DataFrame, tag: int = MU_LAW) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_bytes long, media binary): the UTF-8 bytes, zeros up to a positive multiple of
-    64, as the coded samples of a WAV file.  64 bytes are also the block of the ADPCM form, so nothing is lost."""
+    """docs(doc_id, text) -> (doc_id, n_bytes long, media binary).  64 bytes are also the block of the ADPCM form, so
+    nothing is lost whatever the code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text", 8 << 20):
-                raw, ends = data.tobytes(), offsets.tolist()
-                texts = [raw[i:j] for i, j in zip(ends, ends[1:])]
-                media = [to_wav(t + bytes(max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)), tag) for t in texts]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for rows, texts in _slices(batches, "text"):
+            raw = [t or b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media_of(raw, tag), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def stored_pcm(df: DataFrame, factor: int = 2) -> DataFrame:
-    """df with pcm_media binary: the media column expanded, resampled to factor times its rate, as a PCM WAV file."""
+def stored_pcm(df: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """df(.., media) with pcm_media binary: the media column expanded and resampled, as PCM WAV files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for media in batch.column("media").to_pylist():
-                tag, rate, block, payload = from_wav(media) if media else (PCM, RATE, 2, b"")
-                made.append(to_wav(resample(expand(payload, tag, block), factor).tobytes(), PCM, rate * factor))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "pcm_media"])
+        for rows, media in _slices(batches, "media"):
+            yield _with(rows, pcm_media=pa.array(pcm_of(media, rate), pa.binary()))
 
     df = df.drop("pcm_media")
     return df.mapInArrow(run, schema_with(df, pcm_media="binary"))
 
 
-def _loudness(name: str, pcm: np.ndarray) -> str:
-    wide = np.abs(pcm.astype(np.int32))
-    return f"{name}:n={len(pcm)},peak={wide.max()},mean={int(wide.sum(dtype=np.int64)) // len(pcm)},crossings={np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))}"
+def media_features(df: DataFrame) -> DataFrame:
+    """df(.., media, pcm_media) plus payload binary (read back) and feature string."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, media in _slices(batches, "media"):
+            payloads, features = features_of(media, rows.column("pcm_media").to_pylist())
+            yield _with(rows, payload=pa.array(payloads, pa.binary()), feature=pa.array(features, pa.string()))
+
+    df = df.drop("payload", "feature")
+    return df.mapInArrow(run, schema_with(df, payload="binary", feature="string"))
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
 
-def media_features(df: DataFrame) -> DataFrame:
-    """df(.., media) plus payload binary (read back) and feature string.
 
-    The feature has count, peak, mean size and zero crossings of the samples under each telephony code (the payload's
-    64-byte units are also ADPCM blocks), and the checksum of the resampled PCM of the file's own code.
+def text_digests(docs: DataFrame, tag: int = MU_LAW, rate: int = PCM_RATE) -> DataFrame:
+    """docs(doc_id, text) -> sizes and digests of the payload read back, its media and its stored PCM, and the feature.
+
+    The same steps as text_media, stored_pcm and media_features, one slice of rows after the other, so that the PCM of
+    four times the text's size is not sent from step to step.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                files = [from_wav(m) for m in part.column("media").to_pylist()]
-                codes = [np.frombuffer(p, np.uint8) for *_, p in files]
-                blocks = np.concatenate(codes).reshape(-1, UNIT)
-                adpcm = np.concatenate([decode_adpcm(blocks[k : k + 16384]) for k in range(0, len(blocks), 16384)])
-                features, row = [], 0
-                for (tag, _, block, payload), code in zip(files, codes, strict=True):
-                    n = len(code) // UNIT
-                    pcm = resample(expand(payload, tag, block))
-                    features.append(";".join((_loudness("mu", MU[code]), _loudness("a", A[code]), _loudness("adpcm", adpcm[row : row + n].ravel()), f"pcm16k:crc={zlib.crc32(pcm.tobytes()):08x}")))
-                    row += n
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([p for *_, p in files], pa.binary()), pa.array(features)], [*part.schema.names, "payload", "feature"])
+        sha = lambda values: [hashlib.sha256(v).hexdigest() for v in values]
+        size = lambda values: pa.array([len(v) for v in values], pa.int64())
+        for rows, texts in _slices(batches, "text"):
+            raw = [t or b"" for t in texts]
+            media = media_of(raw, tag)
+            pcm = pcm_of(media, rate)
+            payloads, features = features_of(media, pcm)
+            tails = pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64())
+            columns = [rows.column("doc_id"), size(raw), size(payloads), pa.array(sha(payloads)), tails, size(media), pa.array(sha(media)), size(pcm), pa.array(sha(pcm)), pa.array(features)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGESTS.split(", ")])
 
-    df = df.drop("payload", "feature")
-    return df.mapInArrow(run, schema_with(df, payload="binary", feature="string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DIGESTS)
 
 
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = text_media(table(spark, sf_dir, "documents"), MU_LAW)
-    return media_features(media).select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-    )
+    return text_digests(table(spark, sf_dir, "documents"), MU_LAW)
