@@ -1,13 +1,14 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs passes possible hits on to an exact hash join.
 
-A canonical URL is host + path: what follows the scheme, the host's A-Z lower-cased, query and fragment cut off.  A list
-entry is a host (or a parent domain) followed by a path prefix, with a verdict.  A page probes the list with every
-(domain suffix, path prefix) pair whose prefix length occurs in the list; the filter drops nearly all probes that are
-not listed, and the exact join drops its false positives, so a verdict never rests on the filter.
-
-Null urls and urls without "://" have an empty host and path and match nothing.  Null list entries are ignored; of equal
-entries one that blocks wins.  Repeated pages are judged each by itself (page_id may be null or repeated); extra columns
-are left out of the result.
+A canonical URL is host + path: what follows the scheme, the host's A-Z lower-cased, query and fragment cut off.  A page
+whose canonical URL is listed is blocked: the filter drops nearly all pages that are not listed, and the exact join drops
+its false positives, so a verdict never rests on the filter.  Rules come first: a rule is a host (or a parent domain)
+followed by a path prefix, with a verdict; a page probes them in the same way with every (domain suffix, path prefix)
+pair whose prefix length occurs among the rules, and the longest that fits decides.
+
+Null urls and urls without "://" have an empty host and path and match nothing.  Null rules and list entries are ignored;
+of equal rules one that blocks wins.  Repeated pages are judged each by itself (page_id may be null or repeated); extra
+columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ ENTRIES_PER_BLOCK = 8
 #: A filter of at most so many blocks (40 bytes each) is broadcast; a larger one is joined by block.
 MOST_BROADCAST_BLOCKS = 1 << 18
 
-#: The production rules and listed sites of op7_url_filter.
+#: The production rules of op7_url_filter, and the names of sites, under any domain, whose pages it lists.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
-SITES = ["ads-track.example.org/", "casino-win.example.org/", "cheap-pills.example.com/", "free-bets.example.com/", "spam-farm.example.org/"]
+SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 _URL = r"^(?s:(.*?))://([^/?#]*)([^?#]*)"
 
@@ -74,29 +75,41 @@ def longest_entries(pages: DataFrame, entries: DataFrame) -> DataFrame:
     return exact.groupBy("host", "path").agg(best).select("host", "path", F.col("best.key").alias("entry"), F.col("best.verdict").alias("verdict"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
-    """pages(page_id, url) -> (page_id, host, path, rule string, listed string, verdict string).
+def canonical_parts(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url) -> (page_id, host, path)."""
+    host, path = host_and_path(F.col("url"))
+    return pages.select("page_id", host.alias("host"), path.alias("path"))
+
+
+def site_urls(parts: DataFrame, names: list[str]) -> DataFrame:
+    """parts(host, path) -> (key): the canonical URLs of the sites with one of the names as a label of their host."""
+    named = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, names)))
+    return parts.where(named).select(F.concat("host", "path").alias("key")).distinct()
 
-    rules(key, verdict): the longest that fits decides.  listed(key): otherwise a page that fits a listed site or URL is
+
+def judge(parts: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
+    """parts(page_id, host, path) -> (page_id, host, path, rule string, listed boolean, verdict string).
+
+    rules(key, verdict): the longest that fits decides.  listed(key): otherwise a page whose canonical URL is listed is
     blocked, and any other page allowed.  Pages of one host and path are judged once, before the exact join back.
     """
-    host, path = host_and_path(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     by_rule = longest_entries(parts, rules).withColumnsRenamed({"entry": "rule", "verdict": "rule_verdict"})
-    by_list = longest_entries(parts, listed.select("key", F.lit("block").alias("verdict"))).select("host", "path", F.col("entry").alias("listed"))
-    judged = parts.join(by_rule, ["host", "path"], "left").join(by_list, ["host", "path"], "left")
-    other = F.when(F.col("listed").isNotNull(), "block").otherwise("allow")
+    listed = listed.where("key is not null").select("key").distinct()
+    urls = parts.where("host <> ''").select("host", "path").distinct().withColumn("key", F.concat("host", "path"))
+    by_list = possible_hits(urls, listed, listed.count()).join(listed, "key").select("host", "path", F.lit(True).alias("listed"))
+    judged = parts.join(by_rule, ["host", "path"], "left").join(by_list, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    other = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", "listed", F.coalesce("rule_verdict", other).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("verdict")) for k, v in RULES))))
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, SITES))).alias("key"))
-    return judge(table(spark, sf_dir, "pages"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
+    parts = canonical_parts(table(spark, sf_dir, "pages"))
+    return judge(parts, rules, site_urls(parts, SITES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _VALUES = ", ".join(f"('{k}', '{v}')" for k, v in RULES)
-_SITES = ", ".join(f"('{k}')" for k in SITES)
+_SITES = ", ".join(f"'{k}'" for k in SITES)
 OP7_SQL = f"""
 with parts as (
     select row_number() over () as n, page_id,
@@ -104,13 +117,11 @@ with parts as (
         case when contains(url, '://') then regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
     from pages),
 rules(key, verdict) as (values {_VALUES}),
-sites(key) as (values {_SITES}),
+listed as (select distinct host || path as key from parts where list_has_any(string_split(host, '.'), [{_SITES}])),
 split as (select key, verdict, split_part(key, '/', 1) as domain, substr(key, instr(key, '/')) as prefix from rules),
 fits as (
     select n, key, verdict, row_number() over (partition by n order by length(key) desc, key desc) as k
-    from parts join split on (host = domain or ends_with(host, '.' || domain)) and starts_with(path, prefix)),
-hits as (
-    select distinct n from parts join sites on (host = split_part(key, '/', 1) or ends_with(host, '.' || split_part(key, '/', 1))) and starts_with(path, '/'))
-select page_id, host, path, f.key as rule, coalesce(f.verdict, case when h.n is not null then 'block' else 'allow' end) as verdict
-from parts p left join fits f on f.n = p.n and f.k = 1 left join hits h on h.n = p.n
+    from parts join split on (host = domain or ends_with(host, '.' || domain)) and starts_with(path, prefix))
+select page_id, host, path, f.key as rule, coalesce(f.verdict, case when l.key is not null then 'block' else 'allow' end) as verdict
+from parts p left join fits f on f.n = p.n and f.k = 1 left join listed l on l.key = host || path
 """
