@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import struct
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flightframe.llm import bpe, decontaminate, line_dedup, registry, simhash, substring, telephony, url_filter, warc
 from flightframe.llm.components import connected_components
-from flightframe.llm.words import gram_hashes, word_hashes
+from flightframe.llm.words import gram_hashes, word_bounds, word_hashes
 from tests.compare import SF_DIR, assert_same, connection
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sig tau ups phi chi psi ome".split()
@@ -178,7 +181,7 @@ def brute_overlaps(texts, items):
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             x, y = fold(t), fold(item)
-            if len(y) < decontaminate.LEAST:
+            if not y:
                 continue
             size, need = decontaminate.needed(len(y))
             if any(sum(x[a + k] == y[b + k] for k in range(size)) >= need for a in range(len(x) - size + 1) for b in range(len(y) - size + 1)):
@@ -321,44 +324,89 @@ def test_companding_tables():
     assert len(set(telephony.A.tolist())) == 256
 
 
+def brute_feature(payload):
+    """Features of a payload under each code, sample by sample."""
+
+    def said(name, pcm):
+        size = [abs(x) for x in pcm]
+        return f"{name}:n={len(pcm)},peak={max(size, default=0)},mean={sum(size) // len(pcm) if pcm else 0},crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))}"
+
+    mu, a = ([int(t[x]) for x in payload] for t in (telephony.MU, telephony.A))
+    adpcm = []
+    for at in range(0, len(payload) // 64 * 64, 64):
+        adpcm += telephony.decode_adpcm(np.frombuffer(payload[at : at + 64], np.uint8)[None, :])[0].tolist()
+    wide = b"".join(struct.pack("<hh", x, x + (y - x) // 2) for x, y in zip(mu, [*mu[1:], *mu[-1:]]))
+    return ";".join((said("mu", mu), said("a", a), said("adpcm", adpcm), f"pcm:n={len(wide) // 2},rate=16000,crc={zlib.crc32(wide):08x}")), wide
+
+
 def test_telephony_round_trip(spark):
     texts = ["", None, "a", "b" * 64, "ü" * 100, "a", "long " * 20000]
     for tag in (telephony.MU_LAW, telephony.A_LAW, telephony.IMA_ADPCM):
-        rows = telephony.media_features(telephony.text_media(frame(spark, texts, extra=True), tag)).orderBy("doc_id").collect()
+        media = telephony.text_media(frame(spark, texts, extra=True), tag).withColumn("payload", F.lit(1))
+        rows = telephony.media_features(telephony.stored_pcm(media)).orderBy("doc_id").collect()
         for r, t in zip(rows, texts, strict=True):
             raw = (t or "").encode()
             assert bytes(r.payload) == raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)) and r.n_bytes == len(raw)
         assert rows[2].feature == rows[5].feature
-    stored = telephony.stored_pcm(telephony.text_media(frame(spark, texts), telephony.A_LAW)).first()
-    tag, rate, _, payload = telephony.from_wav(bytes(stored.pcm_media))
-    assert (tag, rate, len(payload)) == (telephony.PCM, 16000, 2 * 2 * 64)
-    assert telephony.resample(np.array([0, 10, -5], np.int16)).view("<i2").tolist() == [0, 5, 10, 2, -5, -5]
+        pcm = telephony.from_wav(bytes(rows[3].pcm_media))
+        assert (pcm.tag, pcm.rate, len(pcm.payload)) == (telephony.PCM, 16000, 2 * 2 * (121 if tag == telephony.IMA_ADPCM else 64))
+    frames = lambda x: np.array(x, np.int16)[:, None]
+    assert telephony.resample(frames([0, 10, -5]), 8000, 16000).view("<i2").ravel().tolist() == [0, 5, 10, 2, -5, -5]
+    assert telephony.resample(frames([0, 30, 60, 90]), 4, 3).ravel().tolist() == [0, 40, 80] and telephony.resample(frames([]), 8, 11).size == 0
+    slow = telephony.resample(frames(range(0, 3000, 7)), 8000, 11025).ravel()
+    assert slow.tolist() == [int(7 * (k * 8000 // 11025) + (7 if k * 8000 // 11025 < 428 else 0) * (k * 8000 % 11025) // 11025) for k in range(429 * 11025 // 8000)]
+
+
+def test_odd_media(spark):
+    wav = telephony.to_wav
+    two = np.array([[1, -1], [3, -3]], "<i2")
+    media = [None, b"", b"RIFF", b"no wave", wav(b"abc", telephony.MU_LAW), wav(b"x" * 100, telephony.IMA_ADPCM), wav(b"abc", telephony.PCM), wav(b"", telephony.A_LAW), wav(two.tobytes(), telephony.PCM, 16000, 2), wav(b"abcd", 0x55), wav(b"a" * 64, telephony.MU_LAW)[:40], wav(b"a" * 64, telephony.MU_LAW)[:50]]
+    df = spark.createDataFrame([(k, bytearray(m) if m is not None else None) for k, m in enumerate(media)], "doc_id long, media binary")
+    rows = telephony.media_features(telephony.stored_pcm(df)).orderBy("doc_id").collect()
+    assert [k for k, r in enumerate(rows) if r.pcm_media is None] == [0, 1, 2, 3, 9, 10] == [k for k, r in enumerate(rows) if r.feature is None]
+    n = lambda k: len(telephony.from_wav(bytes(rows[k].pcm_media)).payload)
+    assert [n(k) for k in (4, 5, 6, 7, 11)] == [12, 121 * 4, 4, 0, 16]
+    both = telephony.from_wav(bytes(rows[8].pcm_media))
+    assert both.channels == 2 and np.frombuffer(both.payload, "<i2").reshape(-1, 2).tolist() == two.tolist()
+    assert telephony.stored_pcm(df.limit(0)).count() == 0 and telephony.text_digests(frame(spark, ["a"]).limit(0)).count() == 0
 
 
 def test_telephony_query(spark):
     rows = {r.doc_id: r for r in registry.QUERIES["op10_telephony"](spark, SF_DIR).collect()}
-    for d in spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(20).collect():
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
         raw = d.text.encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[d.doc_id]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_bytes == len(telephony.to_wav(payload, telephony.MU_LAW))
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        head = b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"data" + struct.pack("<I", len(payload))
+        media = b"RIFF" + struct.pack("<I", len(head) + len(payload)) + head + payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), sha(media))
+        if len(raw) < 2000:
+            feature, wide = brute_feature(payload)
+            assert r.feature == feature and r.pcm_sha256 == sha(telephony.to_wav(wide, telephony.PCM, 16000))
 
 
 def test_url_filter_has_no_false_verdicts(spark):
-    urls = ["http://A.Example.org/es/x?q", "https://example.org/en/12#t", "example.org/en/1", None, "http://xexample.org/es/", "ftp://org", "http://b.com/de/", "http://com/fr/", "http://www.cheap-pills.example.com/en/", "http://n.net/", "x://", "http://a/b://c"]
+    urls = ["http://A.Example.org/es/x?q", "https://example.org/en/12#t", "example.org/en/1", None, "http://xexample.org/es/", "ftp://org", "http://b.com/de/", "http://com/fr/", "http://www.cheap-pills.example.com/en/", "http://n.net/", "x://", "http://a/b://c", "https://WWW.cheap-pills.example.com/en/?a", "http://www.cheap-pills.example.com/en", "http://cheap-pillsx.net/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "key": F.lit(2)})
+    parts = url_filter.canonical_parts(pages)
     rules = spark.createDataFrame([*url_filter.RULES, (None, "block")], "key string, verdict string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules, spark.createDataFrame([(s,) for s in url_filter.SITES], "key string")).collect()}
+    listed = url_filter.site_urls(parts.where("page_id < 13"), url_filter.SITES)
+    assert [r.key for r in listed.collect()] == ["www.cheap-pills.example.com/en/"]
+    nothing = spark.createDataFrame([(None,)], "key string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(parts, rules, listed.unionByName(nothing)).collect()}
     assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[1] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert got[2] == got[3] == ("", "", None, "allow") and got[4][2:] == ("org/", "allow") and got[5] == ("org", "", None, "allow")
-    assert got[6][2:] == ("com/de/", "block") and got[7][2:] == ("com/fr/", "allow") and got[8][2:] == (None, "block") and got[9][2:] == (None, "allow")
-    assert got[10] == ("", "", None, "allow") and got[11][:2] == ("a", "/b://c")
+    assert got[6][2:] == ("com/de/", "block") and got[7][2:] == ("com/fr/", "allow") and got[8][2:] == got[12][2:] == (None, "block") and got[9][2:] == (None, "allow")
+    assert got[10] == ("", "", None, "allow") and got[11][:2] == ("a", "/b://c") and got[13][2:] == got[14][2:] == (None, "allow")
     listed = spark.range(2000).select(F.concat(F.lit("site"), "id", F.lit(".net/")).alias("key"))
     probes = spark.range(1000, 9000).select(F.concat(F.lit("site"), "id", F.lit(".net/")).alias("key"))
     passed = url_filter.possible_hits(probes, listed, 2000)
     assert passed.join(listed, "key").count() == 1000 and passed.count() < 2500
-    assert url_filter.judge(pages.limit(0), rules, spark.createDataFrame([], "key string")).count() == 0
+    assert url_filter.judge(parts.limit(0), rules, nothing).count() == 0
 
 
 def test_warc_records_are_linked_and_sized(spark, tmp_path):
@@ -368,10 +416,13 @@ def test_warc_records_are_linked_and_sized(spark, tmp_path):
     ids = [r.record_id for r in warc.page_responses(pages).collect()]
     assert len(got) == 6 and {k[0] for k in got} == set(ids) and len({r.record_id for r in got.values()}) == 6
     text, about = got[ids[0], "conversion"], got[ids[0], "metadata"]
-    assert text.block == "Caf&eacute; <b> &lt;\ntwo words" and "WARC-Target-URI: http://a/  X: y\r\n" in text.header
+    assert text.block == "Café <b> &lt;\ntwo words" and "WARC-Target-URI: http://a/  X: y\r\n" in text.header
     assert "source-header-Content-Type: text/html; charset=utf-8\r\n" in about.block and f"source-payload-digest: {text.source_digest}\r\n" in about.block
     import base64
 
+    for r in got.values():
+        other = got[r.refers_to, "metadata" if r.warc_type == "conversion" else "conversion"]
+        assert f"WARC-Concurrent-To: {other.record_id}\r\n" in r.header and f"WARC-Payload-Digest: {r.block_digest}\r\n" in r.header
     assert text.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(text.block.encode()).digest()).decode()
     assert "Target-URI" not in got[ids[1], "conversion"].header and got[ids[1], "conversion"].content_length == 0
     warc.write_warc(warc.derivatives(warc.page_responses(pages)).coalesce(1), str(tmp_path / "w"))
@@ -384,3 +435,91 @@ def test_warc_records_are_linked_and_sized(spark, tmp_path):
         at, n = head + size + 4, n + 1
     assert n == 6
     assert warc.derivatives(warc.page_responses(pages.limit(0))).count() == 0
+
+
+class Reader(HTMLParser):
+    """The library's parser, as far as it keeps to the same rules."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.HIDDEN | warc.RAW:
+            self.hidden.append(tag)
+        elif not self.hidden and tag in warc.LINE_ELEMENTS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if self.hidden and self.hidden[0] == tag:
+            self.hidden = []
+        elif not self.hidden and tag in warc.LINE_ELEMENTS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(re.sub(r"[ \t\r\n\f]+", " ", data))
+
+
+def read_by_library(page):
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = [re.sub(" +", " ", line).strip(" ") for line in "".join(reader.parts).split("\n")]
+    return "\n".join(line for line in lines if line)
+
+
+def test_page_text_equals_the_library_parser():
+    rng = np.random.default_rng(12)
+    pieces = ["word ", "two  words\n", "caf&eacute; ", "&#8217;", "&#x41;", "&amp;lt; ", "&notit; ", "&nbsp;", "a < b ", "<p>", "</p>", "<P class=x>", '<p title="a>b">', "<p title='a>\"b'>", "<br/>", "<b>bold</b>", "<i >", "</i >", "<!-- c > <p> -->", "<!DOCTYPE html>", "<?x y?>", "<script>var t = '<p>';</script>", "<style>p{}</style >", "<noscript>no</noscript>", "<template><p>t</p></template>", "<a href=x>", "</a>", "<td>", "<h1\n>"]
+    for _ in range(400):
+        page = "".join(rng.choice(pieces, rng.integers(1, 30)))
+        assert warc.page_text(page) == read_by_library(page), page
+    assert warc.page_text('<p title="a>b">x</p><p>it&#8217;s caf&eacute; &#x41;</p>') == "x\nit\u2019s caf\u00e9 A"
+    assert warc.page_text("<head>shown<p>all") == "shown\nall" and warc.page_text("a<!-- b") == "a" == warc.page_text("a<script>b") == warc.page_text("a<b c='")
+
+
+def test_page_text_is_linear_in_the_page(spark):
+    began = time.time()
+    for unit in ("<script ", "<script>", "<head>", "<!-- ", "<a b='", '<a b="\'', "</", "<a b=", "&#x", "<", " \n "):
+        warc.page_text(unit * (5_000_000 // len(unit)))
+    assert time.time() - began < 55  # 5 MB each
+    page = spark.createDataFrame([("r", "<noscript>x" * 100_000)], "record_id string, payload string")
+    got = warc.derivatives(page.selectExpr("*", "cast(null as string) as target_uri", "'d' as date", "cast(null as string) as http_header"))
+    assert got.where("warc_type = 'conversion'").first().content_length == 100_000
+
+
+#: Two words of 1,024 bytes that a polynomial modulo a power of two can't tell apart.
+TWINS = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+
+
+def test_words_that_collide_as_polynomials(spark):
+    rest = [f"w{k}" for k in range(34)]
+    texts = [" ".join([*rest, twin]) for twin in TWINS]
+    assert substring.without_repeats(spark, frame(spark, texts)).count() == 0
+    items = spark.createDataFrame([(1, " ".join([TWINS[0]] * 9)), (2, " ".join([*rest[:6], *[TWINS[0]] * 4]))], "item_id long, text string")
+    docs = frame(spark, [" ".join([TWINS[1]] * 9), " ".join([*rest[:6], *[TWINS[1]] * 4]), " ".join([TWINS[0]] * 12)])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark, docs, items).collect()] == [(2, 1)]
+
+
+def test_windows_that_collide_are_told_apart(spark, monkeypatch):
+    # every word has one hash: all windows are candidates, and only their words decide
+    monkeypatch.setattr(substring, "word_hashes", lambda data, offsets: (lambda b: (np.full(len(b[0]), 7, np.uint64), b[2]))(word_bounds(data, offsets)))
+    rng = np.random.default_rng(13)
+    texts = [text_of(rng, 60) for _ in range(6)]
+    texts += [texts[0] + " tail", texts[1].replace(" ", "\n\t ")]
+    starts, words = substring.anchor_rows, frame(spark, texts)
+    rows = starts(substring.keyed(words), 64, 35)
+    assert rows.where("kind = 0").count()
+    data = "  ".join(texts[0].split()).encode()
+    for raw in (texts[0].encode(), data):
+        starts, ends, _ = word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        got = substring.window_digests(np.frombuffer(raw, np.uint8), starts, ends, np.arange(26), 35)
+        assert [x.tobytes() for x in got] == [hashlib.blake2b(" ".join(texts[0].split()[k : k + 35]).encode(), digest_size=16).digest() for k in range(26)]
+
+
+def test_short_items_match_whole(spark):
+    items = spark.createDataFrame([(1, "Three short words"), (2, "seven words are less than eight words"), (3, "?!"), (4, "unique")], "item_id long, text string")
+    docs = frame(spark, ["a b three, SHORT words c", "three short other words", "so seven words are less than eight words", "seven words are less than nine words", "x unique", "", None])
+    got = {(r.doc_id, r.item_id, r.equal) for r in decontaminate.overlaps(spark, docs, items).collect()}
+    assert got == {(0, 1, 3), (2, 2, 7), (4, 4, 1)}
