@@ -51,6 +51,8 @@ def test_components_of_chains_stars_and_loops(spark):
         root[b] = a
     got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if x in got} and len(got) == len({x for link in links if link[0] != link[1] for x in link})
+    hub = [(-7 * k, 7000) for k in range(1, 700)] + [(7000, 7000 + k) for k in range(1, 700)]
+    assert {r.root for r in connected_components(spark, spark.createDataFrame(hub, "a long, b long")).collect()} == {-7 * 699}
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -275,6 +277,41 @@ def test_bands_find_pairs_near_the_limit(spark):
     assert lost <= 6  # of 2,000
 
 
+def test_pairs_at_the_limit_are_found_among_lines_of_one_template(spark):
+    # lines that share a long beginning meet in large bands with many lines that are not near them
+    rng = np.random.default_rng(14)
+    letters = list("abcdefghijklmnopqrstuvwxyz    ")
+    template = "Licensed under the terms of the notice that comes with this work; see there for "
+    lines = []
+    for words in ([""] * 300, [template] * 300):
+        for start in words:
+            while True:
+                line = start + "".join(rng.choice(letters, rng.integers(75, 160)))
+                size = max(1, round((len(line) - 7) * rng.uniform(0.085, 0.11)) - 7)
+                at = int(rng.integers(len(start), len(line) - size))
+                other = line[:at] + "".join(rng.choice(letters, size)) + line[at + size :]
+                x, y = ({s[k : k + 8] for k in range(len(s) - 7)} for s in (line, other))
+                if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                    lines += [line, other]
+                    break
+    lines += [template + "".join(rng.choice(letters, 40)) for _ in range(600)]
+    links = line_dedup.similar_lines(spark, spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    root = {r.node: r.root for r in connected_components(spark, links).collect()}
+    found = [k in root and root[k] == root.get(k + 1) for k in range(0, 1200, 2)]
+    assert sum(found[:300]) >= 0.95 * 300 and sum(found[300:]) >= 0.95 * 300
+    assert all(9 * len(x & y) >= 4 * (len(x) + len(y)) for r in links.collect() for x, y in [[{s[k : k + 8] for k in range(len(s) - 7)} for s in (lines[r.a], lines[r.b])]])
+
+
+def test_places_of_repeated_doc_ids(spark):
+    shared, one = "a line that both documents share", "this line is in one document only"
+    rows = [(0, shared), (1, one), (1, shared), (2, f"{one}\n{one}"), (3, shared), (3, shared), (None, "x"), (None, "x\ny"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.lit("clash"))
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark, docs).where("doc_id is not null").collect())
+    assert got == [(0, shared), (1, ""), (1, one), (2, ""), (3, ""), (3, "")]
+    rest = sorted(str(r.text) for r in line_dedup.dedup_lines(spark, docs).where("doc_id is null").collect())
+    assert rest in (["None", "x", "y"], ["", "None", "x\ny"])
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = line_dedup.band_keys(line_dedup.document_lines(frame(spark, ["some line of text"])))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
