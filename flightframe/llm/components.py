@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from flightframe.llm.shared import written
 
 
-#: Rows of one node that are dealt to one task at least; a node with more, a hub, is split.
-LEAST_PART = 250
+#: Rows of one node that one task may get in any case (under a megabyte); a node with more, a hub, is split.
+LEAST_PART = 50_000
 #: There are at most about twice as many hubs as this, so they are broadcast.
 MOST_HUBS = 100_000
 
 
 def with_lowest(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows(u, v) with m, the smallest v of each u.  Hubs are joined in parts: n_rows is the number of rows or less."""
+    """rows(u, v) with m, the smallest v of each u.  Hubs are joined in parts: n_rows is the number of rows or more."""
     part = max(LEAST_PART, n_rows // MOST_HUBS)
+    if n_rows <= part:
+        return rows.join(rows.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
     lowest = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / part).cast("int")
     hubs = F.broadcast(lowest.where(F.col("n") > part).select(F.col("u").alias("hub"), parts.alias("parts")))
