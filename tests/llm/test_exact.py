@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flightframe.llm import bpe, decontaminate, line_dedup, registry, simhash, substring, telephony, url_filter, warc
+from flightframe.llm import bpe, components, decontaminate, line_dedup, registry, simhash, substring, telephony, url_filter, warc
 from flightframe.llm.components import connected_components
 from flightframe.llm.words import gram_hashes, word_bounds, word_hashes
 from tests.compare import SF_DIR, assert_same, connection
@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, name):
     assert_same(registry.QUERIES[name](spark, SF_DIR), connection(), registry.ORACLES[name])
 
 
-def test_components_of_chains_stars_and_loops(spark):
+def test_components_of_chains_stars_and_loops(spark, monkeypatch):
     rng = np.random.default_rng(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (60, 2))] + [(-5, -9), (7, 7)]
     root = {}
@@ -51,6 +51,7 @@ def test_components_of_chains_stars_and_loops(spark):
         root[b] = a
     got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if x in got} and len(got) == len({x for link in links if link[0] != link[1] for x in link})
+    monkeypatch.setattr(components, "LEAST_PART", 50)
     hub = [(-7 * k, 7000) for k in range(1, 700)] + [(7000, 7000 + k) for k in range(1, 700)]
     assert {r.root for r in connected_components(spark, spark.createDataFrame(hub, "a long, b long")).collect()} == {-7 * 699}
     assert connected_components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
