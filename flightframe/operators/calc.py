@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightframe.functions.angles import unwrap, wrap_180
 from flightframe.operators.align import high_rate_rows, interpolate, low_rate_pair
-from flightframe.operators.series import SERIES
+from flightframe.operators.series import SERIES, runs_begin
 
 
 def _divided(a: Column, b: Column) -> Column:
@@ -69,29 +69,51 @@ def angle_difference(samples: DataFrame, a: str, b: str | float) -> DataFrame:
 
 
 def vibration(samples: DataFrame, floor_hz: float = 5.0, vibe_hz: float = 2.0, keys: Sequence[str] = SERIES) -> DataFrame:
-    """samples with v as vibration level: two recursive low-passes, one after the other, per series.
+    """samples with v as vibration level: the square of what a first low-pass leaves, through a second one, per series.
 
-    The filter needs each value's predecessor state, so a series is folded in order inside one Arrow group.
+    Series come one after the other in order of time and are filtered by Arrow batches, all of a batch at once; the
+    filters' values go on from batch to batch, so a series may be longer than any batch.  The first value is 0.
     """
     import numpy as np
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "seq"], kind="stable")
-        t, y = rows["t"].to_numpy(float), rows["v"].to_numpy(float)
-        out = np.zeros(len(y))
-        if len(y) > 1:
-            dt = np.maximum(np.diff(t), 1e-6)
-            follow = [np.clip(dt / (dt + 1 / (2 * np.pi * hz)), 0.0, 1.0).tolist() for hz in (floor_hz, vibe_hz)]
-            level, state = float(y[0]), None
-            for i, (x, slow, quick) in enumerate(zip(y[1:].tolist(), *follow, strict=True), 1):
-                level += slow * (x - level)
-                square = (x - level) ** 2
-                state = square if state is None else state + quick * (square - state)
-                out[i] = state
-        return rows.assign(v=np.sqrt(np.maximum(out, 0.0)))
-
-    return samples.groupBy(*keys).applyInPandas(fold, samples.schema)
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, t_last, level_last, state_last, second = None, 0.0, 0.0, 0.0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = runs_begin(batch, keys)
+            goes_on = last == tuple(batch.column(k)[0].as_py() for k in keys)
+            new[0] = not goes_on
+            t, y = (np.asarray(batch.column(c).fill_null(np.nan), float) for c in ("t", "v"))
+            dt = np.maximum(np.diff(t, prepend=t_last), 1e-6)
+            slow, quick = (dt / (dt + 1 / (2 * np.pi * hz)) for hz in (floor_hz, vibe_hz))
+            level = low_pass(y, np.where(new, 1.0, slow), level_last)
+            square = (y - level) ** 2
+            seconds = np.append(goes_on and second, new[:-1])  # their square is where the second filter starts
+            state = low_pass(square, np.where(new | seconds, 1.0, quick), state_last)
+            out = np.sqrt(np.maximum(np.where(new, 0.0, state), 0.0))
+            last, t_last, level_last, state_last, second = tuple(batch.column(k)[-1].as_py() for k in keys), t[-1], level[-1], state[-1], bool(new[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out) if c == "v" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+
+    ordered = samples.withColumn("v", F.col("v").cast("double")).repartition(*keys).sortWithinPartitions(*keys, "t", "seq")
+    return ordered.mapInArrow(run, ordered.schema)
+
+
+def low_pass(x, rate, before: float):
+    """h[i] = h[i - 1] + rate[i] * (x[i] - h[i - 1]), h[-1] = before; in log2(n) steps, each of which doubles the number
+    of values behind a position that are summed up.  Where rate is 1 nothing before counts, not even NaN."""
+    import numpy as np
+
+    keep, h = 1 - rate, rate * x
+    h[0] += keep[0] * before if keep[0] else 0.0
+    step = 1
+    while step < len(h):
+        earlier = np.where(keep[step:] == 0, 0.0, keep[step:] * np.where(keep[step:] == 0, 0.0, h[:-step]))
+        keep = np.concatenate((keep[:step], keep[step:] * keep[:-step]))
+        h = np.concatenate((h[:step], h[step:] + earlier))
+        step *= 2
+    return h
 
 
 def vibration_magnitude(samples: DataFrame, fields: Sequence[str]) -> DataFrame:

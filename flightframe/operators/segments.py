@@ -95,13 +95,14 @@ def filter_segment(samples: DataFrame, segments: DataFrame, mode: str, keys: Seq
 
 def spectrum_segment(samples: DataFrame, multiplier: float = 20.0, min_gap_s: float = 0.05, keys: Sequence[str] = SERIES) -> DataFrame:
     """samples of the segment with most samples (the first of them), with fs = 1 / its median positive step."""
-    split = split_at_gaps(samples, multiplier, min_gap_s, keys)
-    spans = _spans(split, keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc("samples"), "start_idx")
-    best = spans.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    duration = F.col("end_t") - F.col("start_t")
-    fs = F.when(F.col("series_median_dt").isNull(), 0.0).when(F.col("own_median_dt") > 0, 1 / F.col("own_median_dt")).when(duration > 0, (F.col("samples") - 1) / duration).otherwise(0.0)
-    return split.join(best.select(*keys, "segment", fs.alias("fs")), [*keys, "segment"]).drop("row", "dt", "median_dt", "segment")
+    in_segment = Window.partitionBy(*keys, "segment")
+    split = split_at_gaps(samples, multiplier, min_gap_s, keys).withColumn("from", F.min("row").over(in_segment)).withColumn("size", F.count("*").over(in_segment))
+    best = split.withColumn("best", F.min(F.struct(-F.col("size"), "from")).over(whole(keys))).where(F.col("from") == F.col("best.from"))
+    own = F.median(F.when((F.col("dt") > 0) & (F.col("row") > F.col("from")), F.col("dt"))).over(whole(keys))
+    duration = F.max("t").over(whole(keys)) - F.min("t").over(whole(keys))
+    rated = best.withColumn("own", own).withColumn("duration", duration)
+    fs = F.when(F.col("median_dt").isNull(), 0.0).when(F.col("own") > 0, 1 / F.col("own")).when(F.col("duration") > 0, (F.col("size") - 1) / F.col("duration")).otherwise(0.0)
+    return rated.withColumn("fs", fs).drop("row", "dt", "median_dt", "segment", "from", "size", "best", "own", "duration")
 
 
 def display_bounds(segments: DataFrame, logs: DataFrame, keys: Sequence[str], mode: str = "longest") -> DataFrame:

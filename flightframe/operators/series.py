@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -35,3 +37,13 @@ def with_dt(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 def not_nan(c: Column) -> Column:
     """NaN as null, so that aggregates skip it."""
     return F.when(~F.isnan(c), c)
+
+
+def runs_begin(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """For each row of an Arrow batch whether its keys differ from those of the row before; nulls are equal."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        code = np.asarray(batch.column(k).dictionary_encode(null_encoding="encode").indices)
+        new[1:] |= code[1:] != code[:-1]
+    return new

@@ -138,19 +138,19 @@ def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DFT = """sized as (select *, count(*) over (partition by log_id, series) as n, avg(v) over (partition by log_id, series) as m, row_number() over (partition by log_id, series order by t, seq) - 1 as j from {source}),
 windowed as (select *, (v - m) * (0.5 - 0.5 * cos(2 * pi() * j / nullif(n - 1, 0))) as y from sized where n > 1),
-bins as (select w.log_id, w.series, b.bin, any_value(n) as n, any_value(fs) as fs, sum(y * cos(2 * pi() * b.bin * j / n)) as re, sum(y * sin(2 * pi() * b.bin * j / n)) as im
-    from windowed w join (select unnest(range(0, 5000)) as bin) b on b.bin <= n // 2 group by w.log_id, w.series, b.bin),
+bins as (select w.log_id, w.series, b.bin, any_value(w.n) as n, any_value(fs) as fs, sum(y * cos(2 * pi() * b.bin * j / w.n)) as re, sum(y * sin(2 * pi() * b.bin * j / w.n)) as im
+    from windowed w join (select distinct n, unnest(range(0, n // 2 + 1)) as bin from sized) b using (n) group by w.log_id, w.series, b.bin),
 single as (select distinct log_id, series from sized where n = 1)"""
 
 
 @query(
     "sig1_spectrum",
-    f"""with {SAMPLES}, x as (select *, 10.0 as fs from samples where log_id % 10 = 3), {_DFT.format(source="x")}
+    f"""with {SAMPLES}, x as (select *, 10.0 as fs from samples), {_DFT.format(source="x")}
     select log_id, series, bin::int as bin, round(bin * fs / n, 6) as freq, round(sqrt(re * re + im * im) / n * 2, 6) + 0.0 as mag from bins union all select log_id, series, 0, 0, 0 from single""",
 )
 def one_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spectrum of the series of the requested logs."""
-    asked = event_samples(spark, sf_dir).where("log_id % 10 = 3").withColumn("fs", F.lit(10.0))
+    """The spectrum of every series at one rate."""
+    asked = event_samples(spark, sf_dir).withColumn("fs", F.lit(10.0))
     return rounded_all(spectrum.spectrum(asked), "freq", "mag")
 
 
