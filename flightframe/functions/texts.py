@@ -60,9 +60,10 @@ def mode_name(mode: Column, copter: Column) -> Column:
     """Digits by table (MODE_n if unknown), A/B as A, upper case."""
     text = F.trim(mode)
     tables = (F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) for names in (PLANE_MODES, COPTER_MODES))
-    number = F.when(text.rlike("^[0-9]+$"), text.cast("int"))
+    digits, number = text.rlike("^[0-9]+$"), text.try_cast("int")
     plane, rotor = (F.try_element_at(t, number) for t in tables)
-    return F.when(number.isNotNull(), F.coalesce(F.when(copter, rotor).otherwise(plane), F.concat(F.lit("MODE_"), number.cast("string")))).otherwise(F.upper(F.trim(F.split(text, "/")[0])))
+    unknown = F.concat(F.lit("MODE_"), F.regexp_replace(text, "^0+(?=.)", ""))
+    return F.when(digits, F.coalesce(F.when(copter, rotor).otherwise(plane), unknown)).otherwise(F.upper(F.trim(F.split(text, "/")[0])))
 
 
 def clean_text(text: Column) -> Column:

@@ -13,6 +13,11 @@ def last_values(params: DataFrame) -> DataFrame:
     return params.groupBy("log_id", "name").agg(F.max_by("value", "seq").alias("value"))
 
 
+def param_names(params: DataFrame) -> DataFrame:
+    """(name): the distinct names over all logs."""
+    return params.select("name").distinct()
+
+
 def values_differ(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """One is missing, numbers apart by more than the tolerance, or other texts than equal ones; NaN equals NaN."""
     x, y = a.try_cast("double"), b.try_cast("double")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightframe.functions.texts import mode_name
 from flightframe.operators.align import inside_spans
 from flightframe.operators.logs import total_duration
 
 SHORTEST_S = 0.5
 ARMED_BIT = 128
 ARM, DISARM = 10, 11
+#: Fields of STAT that say whether a vehicle is armed, in order.
+STATE_FIELDS = ["Armed", "Arm", "ArmState"]
 
 #: Where winds are looked for, in order: message, fields (two are components).
 WIND_SOURCES = [
@@ -28,6 +31,23 @@ def mode_spans(modes: DataFrame, last_end: Column) -> DataFrame:
     return modes.withColumn("end_t", F.coalesce(following, last_end)).select("log_id", "name", F.col("t").alias("start_t"), "end_t")
 
 
+def log_mode_spans(modes: DataFrame) -> DataFrame:
+    """modes(log_id, kind, copter, t, seq, mode, log_end) -> (log_id, name, start_t, end_t).
+
+    The last mode of a binary or text log lasts until the log's end, a second at least; that of a telemetry link ("link")
+    ten seconds.  Modes of binary logs are named by table, others by their text.
+    """
+    name = F.when(F.col("kind") == "binary", mode_name(F.col("mode"), F.col("copter"))).otherwise(F.col("mode"))
+    last_end = F.when(F.col("kind") == "link", F.col("t") + 10).otherwise(F.greatest(F.col("log_end"), F.col("t") + 1))
+    return mode_spans(modes.withColumn("name", name), last_end)
+
+
+def first_spans(spans: DataFrame, most: int = 100) -> DataFrame:
+    """The first spans of each log in order, so many at most."""
+    place = F.row_number().over(Window.partitionBy("log_id").orderBy("start_t", "end_t", "name"))
+    return spans.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
 def mode_changes(heartbeats: DataFrame) -> DataFrame:
     """heartbeats(log_id, sysid, t, seq, mode): system 1 only, no unknown modes, each only where it differs from the
     one before."""
@@ -57,13 +77,14 @@ def event_spans(events: DataFrame) -> DataFrame:
     return spans.withColumn("duration", F.col("end_t") - F.col("start_t")).where(F.col("duration") > SHORTEST_S)
 
 
-def first_source(*sources: tuple[str, DataFrame]) -> DataFrame:
-    """(log_id, start_t, end_t, duration, source): the spans of each log's first source that has any."""
-    parts = [spans.select("log_id", "start_t", "end_t", "duration", F.lit(name).alias("source"), F.lit(k).alias("rank")) for k, (name, spans) in enumerate(sources)]
+def first_source(*sources: DataFrame) -> DataFrame:
+    """(log_id, start_t, end_t, duration, source): of each log the spans of the first of the sources that has any, and
+    there of the message that comes first.  sources(log_id, start_t, end_t, duration, source, rank)."""
+    parts = [s.select("log_id", "start_t", "end_t", "duration", "source", F.struct(F.lit(k).alias("kind"), F.col("rank").cast("int").alias("rank"), "source").alias("order")) for k, s in enumerate(sources)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.withColumn("best", F.min("rank").over(Window.partitionBy("log_id"))).where("rank = best").drop("rank", "best")
+    return every.withColumn("best", F.min("order").over(Window.partitionBy("log_id"))).where("order = best").drop("order", "best")
 
 
 def heartbeat_rank(message: Column) -> Column:
@@ -71,6 +92,34 @@ def heartbeat_rank(message: Column) -> Column:
     return F.when(message.contains("[S1]"), 0).when(message.contains("[S"), 1).otherwise(2)
 
 
+def _message_spans(states: DataFrame) -> DataFrame:
+    """states(log_id, msg_type, source, rank, t, seq, armed): the armed spans of each message of each log."""
+    return armed_spans(states, ("log_id", "msg_type", "source", "rank")).drop("msg_type")
+
+
+def heartbeat_spans(fields: DataFrame) -> DataFrame:
+    """fields(log_id, msg_type, field, seq, t, v) -> (log_id, source, rank, start_t, end_t, duration): from bit 128 of
+    base_mode, of each HEARTBEAT message; fractions of a value are cut off."""
+    beats = fields.where(F.col("msg_type").startswith("HEARTBEAT") & (F.col("field") == "base_mode"))
+    armed = F.coalesce(F.col("v").try_cast("long").bitwiseAND(ARMED_BIT) != 0, F.lit(False))
+    source = F.concat("msg_type", F.lit(".base_mode"))
+    return _message_spans(beats.select("log_id", "msg_type", source.alias("source"), heartbeat_rank(F.col("msg_type")).alias("rank"), "t", "seq", armed.alias("armed")))
+
+
+def state_spans(fields: DataFrame) -> DataFrame:
+    """The same of each STAT message, from the first of its fields Armed, Arm and ArmState: whole values above 0."""
+    place = F.array_position(F.array(*map(F.lit, STATE_FIELDS)), F.col("field"))
+    states = fields.where(F.col("msg_type").startswith("STAT") & (place > 0)).withColumn("place", place)
+    first = states.withColumn("first", F.min("place").over(Window.partitionBy("log_id", "msg_type"))).where("place = first")
+    armed = F.coalesce(F.col("v").try_cast("long") > 0, F.lit(False))
+    return _message_spans(first.select("log_id", "msg_type", F.concat("msg_type", F.lit(".Armed")).alias("source"), F.lit(0).alias("rank"), "t", "seq", armed.alias("armed")))
+
+
+def all_armed_spans(fields: DataFrame, events: DataFrame) -> DataFrame:
+    """Heartbeats before states before arming events; fields as above, events(log_id, t, id)."""
+    return first_source(heartbeat_spans(fields), state_spans(fields), event_spans(events).select("*", F.lit("EV.Id (10/11)").alias("source"), F.lit(0).alias("rank")))
+
+
 def wind_speeds(fields: DataFrame) -> DataFrame:
     """fields(log_id, msg_type, field, seq, t, v) -> (log_id, t, seq, speed, source): of each log's first wind source.
 

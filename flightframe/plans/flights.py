@@ -10,26 +10,35 @@ from flightframe.operators import params, spans
 from flightframe.plans.base import SAMPLES, query, rounded_all
 from flightframe.sources.events import event_samples
 
-_MODES = "modes as (select log_id, t, seq, cast(k % 30 as varchar) as name from samples where series = 'click')"
+_MODES = "modes as (select log_id, t, seq, cast(k % 30 as varchar) as mode, ['binary', 'text', 'link'][log_id % 3 + 1] as kind, log_id % 2 = 0 as copter, e from samples join (select log_id, max(t) as e from samples group by log_id) using (log_id) where series = 'click')"
+
+
+def _cases(names: dict[int, str]) -> str:
+    return "case n " + " ".join(f"when {n} then '{name}'" for n, name in names.items()) + " else 'MODE_' || n end"
+
+
+def _modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode messages: of each log's kind, in the table of its vehicle."""
+    samples = event_samples(spark, sf_dir).withColumn("log_end", F.max("t").over(Window.partitionBy("log_id")))
+    kind = F.element_at(F.array(*map(F.lit, ["binary", "text", "link"])), (F.col("log_id") % 3 + 1).cast("int"))
+    return samples.where("series = 'click'").select("log_id", kind.alias("kind"), (F.col("log_id") % 2 == 0).alias("copter"), "t", "seq", (F.col("k") % 30).cast("string").alias("mode"), "log_end")
 
 
 @query(
     "win1_mode_spans",
-    f"""with {SAMPLES}, {_MODES}, ends as (select log_id, max(t) as e from samples group by log_id)
-    select log_id, name, t as start_t, coalesce(lead(t) over (partition by log_id order by t, seq), greatest(e, t + 1)) as end_t from modes join ends using (log_id)""",
+    f"""with {SAMPLES}, {_MODES}, named as (select *, cast(mode as int) as n from modes)
+    select log_id, case when kind <> 'binary' then mode when copter then {_cases(texts.COPTER_MODES)} else {_cases(texts.PLANE_MODES)} end as name, t as start_t,
+        coalesce(lead(t) over (partition by log_id order by t, seq), case when kind = 'link' then t + 10 else greatest(e, t + 1) end) as end_t from named""",
 )
 def mode_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_samples(spark, sf_dir).withColumn("e", F.max("t").over(Window.partitionBy("log_id")))
-    modes = samples.where("series = 'click'").select("log_id", "t", "seq", (F.col("k") % 30).cast("string").alias("name"), "e")
-    return spans.mode_spans(modes, F.greatest(F.col("e"), F.col("t") + 1))
+    return spans.log_mode_spans(_modes(spark, sf_dir))
 
 
-@query("top2_first_mode_spans", f"with {SAMPLES}, {_MODES} select log_id, name, start_t from (select log_id, name, t as start_t, row_number() over (partition by log_id order by t, seq) as n from modes) where n <= 7")
+@query("top2_first_mode_spans", f"with {SAMPLES}, {_MODES} select log_id, name, start_t from (select log_id, mode as name, t as start_t, row_number() over (partition by log_id order by t, seq) as n from modes) where n <= 100")
 def first_mode_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first spans of each log in order (a report of a fixed length per log)."""
-    found = spans.mode_spans(event_samples(spark, sf_dir).where("series = 'click'").select("log_id", "t", "seq", (F.col("k") % 30).cast("string").alias("name")), F.col("t") + 10)
-    first = F.row_number().over(Window.partitionBy("log_id").orderBy("start_t"))
-    return found.withColumn("n", first).where("n <= 7").select("log_id", "name", "start_t")
+    """The first 100 spans of each log in order (a report of a fixed length per log)."""
+    modes = _modes(spark, sf_dir).withColumnRenamed("mode", "name")
+    return spans.first_spans(spans.mode_spans(modes, F.col("t") + 10)).select("log_id", "name", "start_t")
 
 
 @query(
@@ -44,26 +53,29 @@ def mode_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def armed_sql(name: str, source: str) -> str:
-    """CTEs from source(log_id, t, seq, armed) to name(log_id, start_t, end_t, duration)."""
-    return f"""{name}_e as (select *, armed and not coalesce(lag(armed) over w, false) as edge, coalesce(lead(t) over w, t) as next_t from {source} window w as (partition by log_id order by t, seq)),
-{name}_r as (select *, sum(edge::int) over (partition by log_id order by t, seq) as run from {name}_e),
-{name} as (select log_id, start_t, end_t, end_t - start_t as duration from (select log_id, min(t) as start_t, max(next_t) as end_t from {name}_r where armed group by log_id, run) where end_t - start_t > 0.5)"""
-
-
-_BEATS = "beats as (select log_id, t, seq, cast(v * 8 as int) & 128 <> 0 as armed from samples where log_id % 4 < 2)"
-_STATS = "stats as (select log_id, t, seq, k % 3 > 0 as armed from samples where log_id % 4 in (1, 2))"
+    """CTEs from source(log_id, source, rank, t, seq, armed) to name(log_id, source, rank, start_t, end_t, duration)."""
+    return f"""{name}_e as (select *, armed and not coalesce(lag(armed) over w, false) as edge, coalesce(lead(t) over w, t) as next_t from {source} window w as (partition by log_id, source order by t, seq)),
+{name}_r as (select *, sum(edge::int) over (partition by log_id, source order by t, seq) as run from {name}_e),
+{name} as (select *, end_t - start_t as duration from (select log_id, source, rank, min(t) as start_t, max(next_t) as end_t from {name}_r where armed group by log_id, source, rank, run) where end_t - start_t > 0.5)"""
+
+
+#: Messages of the samples: heartbeats of several systems, states under several names, and others.
+_MESSAGES = """messages as (select log_id, t, seq, case when k % 10 < 4 then ['HEARTBEAT', 'HEARTBEAT[S1]', 'HEARTBEAT[S255]', 'HEARTBEAT[S1]'][k % 10 + 1] when k % 10 < 7 then ['STAT', 'STAT[1]'][k % 2 + 1] else 'OTHER' end as msg_type,
+    case when k % 10 < 4 then 'base_mode' else ['Armed', 'Arm', 'ArmState', 'Other'][cast(len(series) % 4 as int) + 1] end as field, case when k % 10 < 4 then v * 8 else (k % 3 - 1) * 1.5 end as v from samples)"""
+_BEATS = "beats as (select log_id, t, seq, msg_type || '.base_mode' as source, case when contains(msg_type, '[S1]') then 0 when contains(msg_type, '[S') then 1 else 2 end as rank, cast(trunc(v) as bigint) & 128 <> 0 as armed from messages where starts_with(msg_type, 'HEARTBEAT'))"
+_STATS = """stat_rows as (select *, case field when 'Armed' then 1 when 'Arm' then 2 else 3 end as place from messages where starts_with(msg_type, 'STAT') and field <> 'Other'),
+stats as (select log_id, t, seq, msg_type || '.Armed' as source, 0 as rank, trunc(v) > 0 as armed from (select *, min(place) over (partition by log_id, msg_type) as first from stat_rows) where place = first)"""
 _EVENTS = "evs as (select log_id, t, case series when 'click' then 10 when 'error' then 11 else 0 end as id from samples)"
 _EVENT_SPANS = """event_spans as (select log_id, start_t, end_t, end_t - start_t as duration from (
     select a.log_id, a.t as start_t, coalesce((select min(d.t) from evs d where d.log_id = a.log_id and d.id = 11 and d.t > a.t), (select max(d.t) from evs d where d.log_id = a.log_id)) as end_t from evs a where a.id = 10) where end_t - start_t > 0.5)"""
 
 
-def _beats(samples: DataFrame) -> DataFrame:
-    armed = (F.col("v") * 8).try_cast("int").bitwiseAND(spans.ARMED_BIT) != 0
-    return samples.where("log_id % 4 < 2").select("log_id", "t", "seq", armed.alias("armed"))
-
-
-def _stats(samples: DataFrame) -> DataFrame:
-    return samples.where("log_id % 4 in (1, 2)").select("log_id", "t", "seq", (F.col("k") % 3 > 0).alias("armed"))
+def _messages(samples: DataFrame) -> DataFrame:
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    ten, beat = F.col("k") % 10, F.col("k") % 10 < 4
+    message = F.when(beat, pick(["HEARTBEAT", "HEARTBEAT[S1]", "HEARTBEAT[S255]", "HEARTBEAT[S1]"], F.least(ten, F.lit(3)))).when(ten < 7, pick(["STAT", "STAT[1]"], F.col("k") % 2)).otherwise("OTHER")
+    field = F.when(beat, "base_mode").otherwise(pick([*spans.STATE_FIELDS, "Other"], F.length("series") % 4))
+    return samples.select("log_id", message.alias("msg_type"), field.alias("field"), "seq", "t", F.when(beat, F.col("v") * 8).otherwise((F.col("k") % 3 - 1) * 1.5).alias("v"))
 
 
 def _events(samples: DataFrame) -> DataFrame:
@@ -73,14 +85,14 @@ def _events(samples: DataFrame) -> DataFrame:
 _SPAN = "log_id, start_t, end_t, round(duration, 6) + 0.0 as duration"
 
 
-@query("win3_heartbeat_spans", f"with {SAMPLES}, {_BEATS.replace('cast(v * 8 as int)', 'cast(trunc(v * 8) as int)')}, {armed_sql('found', 'beats')} select {_SPAN} from found")
+@query("win3_heartbeat_spans", f"with {SAMPLES}, {_MESSAGES}, {_BEATS}, {armed_sql('found', 'beats')} select {_SPAN}, source from (select *, min(struct_pack(rank, source)) over (partition by log_id) as best from found) where best = struct_pack(rank, source)")
 def heartbeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_all(spans.armed_spans(_beats(event_samples(spark, sf_dir))), "duration")
+    return rounded_all(spans.first_source(spans.heartbeat_spans(_messages(event_samples(spark, sf_dir)))), "duration")
 
 
-@query("win4_state_spans", f"with {SAMPLES}, {_STATS}, {armed_sql('found', 'stats')} select {_SPAN} from found")
+@query("win4_state_spans", f"with {SAMPLES}, {_MESSAGES}, {_STATS}, {armed_sql('found', 'stats')} select {_SPAN}, source from (select *, min(source) over (partition by log_id) as best from found) where best = source")
 def state_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_all(spans.armed_spans(_stats(event_samples(spark, sf_dir))), "duration")
+    return rounded_all(spans.first_source(spans.state_spans(_messages(event_samples(spark, sf_dir)))), "duration")
 
 
 @query("win5_event_spans", f"with {SAMPLES}, {_EVENTS}, {_EVENT_SPANS} select {_SPAN} from event_spans")
@@ -93,17 +105,14 @@ def next_disarming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.event_spans(_events(event_samples(spark, sf_dir))).select("log_id", "start_t", "end_t")
 
 
-_ALL = f"""{SAMPLES}, {_BEATS.replace('cast(v * 8 as int)', 'cast(trunc(v * 8) as int)')}, {armed_sql('hb', 'beats')}, {_STATS}, {armed_sql('st', 'stats')}, {_EVENTS}, {_EVENT_SPANS},
-every as (select *, 0 as rank, 'HEARTBEAT.base_mode' as source from hb union all select *, 1, 'STAT.Armed' from st union all select *, 2, 'EV.Id (10/11)' from event_spans),
-spans as (select * from (select *, min(rank) over (partition by log_id) as best from every) where rank = best)"""
+_ALL = f"""{SAMPLES}, {_MESSAGES}, {_BEATS}, {armed_sql('hb', 'beats')}, {_STATS}, {armed_sql('st', 'stats')}, {_EVENTS}, {_EVENT_SPANS},
+every as (select log_id, start_t, end_t, duration, source, struct_pack(kind := 0, rank, source) as place from hb union all by name select log_id, start_t, end_t, duration, source, struct_pack(kind := 1, rank, source) as place from st
+    union all by name select log_id, start_t, end_t, duration, 'EV.Id (10/11)' as source, struct_pack(kind := 2, rank := 0, source := 'EV.Id (10/11)') as place from event_spans),
+spans as (select * from (select *, min(place) over (partition by log_id) as best from every) where place = best)"""
 
 
 def all_spans(samples: DataFrame) -> DataFrame:
-    return spans.first_source(
-        ("HEARTBEAT.base_mode", spans.armed_spans(_beats(samples))),
-        ("STAT.Armed", spans.armed_spans(_stats(samples))),
-        ("EV.Id (10/11)", spans.event_spans(_events(samples))),
-    )
+    return spans.all_armed_spans(_messages(samples), _events(samples))
 
 
 @query("win6_source_precedence", f"with {_ALL} select {_SPAN}, source from spans")
@@ -112,7 +121,7 @@ def source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WINDS = """wind_rows as (select log_id, case when log_id % 3 = 0 then 'WIND[S1]' when log_id % 3 = 1 then 'XKF2[0]' else 'AHR2' end as msg_type,
-    case when log_id % 3 = 0 then 'speed' when log_id % 3 = 1 then unnest(['VWN', 'VWE']) else 'wind_vel' end as field, seq, t, v - 5 as v from samples where series = 'view' and log_id % 7 <> 0),
+    case when log_id % 3 = 0 then 'speed' when log_id % 3 = 1 then unnest(['VWN', 'VWE']) else 'wind_vel' end as field, seq, t, v - 5 as v from samples where series = 'view' and k % 7 <> 0),
 winds as (select distinct log_id, seq, t, case when log_id % 3 = 1 then sqrt(v * v + v * v) else v end as speed,
     msg_type || case log_id % 3 when 0 then '.speed' when 1 then '.VWN/VWE' else '.wind_vel' end as source from wind_rows)"""
 
@@ -121,7 +130,7 @@ def wind_fields(samples: DataFrame) -> DataFrame:
     kind = F.col("log_id") % 3
     names = F.when(kind == 0, F.array(F.lit("speed"))).when(kind == 1, F.array(F.lit("VWN"), F.lit("VWE"))).otherwise(F.array(F.lit("wind_vel")))
     message = F.when(kind == 0, "WIND[S1]").when(kind == 1, "XKF2[0]").otherwise("AHR2")
-    return samples.where("series = 'view' and log_id % 7 <> 0").select("log_id", message.alias("msg_type"), F.explode(names).alias("field"), "seq", "t", (F.col("v") - 5).alias("v"))
+    return samples.where("series = 'view' and k % 7 <> 0").select("log_id", message.alias("msg_type"), F.explode(names).alias("field"), "seq", "t", (F.col("v") - 5).alias("v"))
 
 
 @query("win7_wind_source", f"with {SAMPLES}, {_WINDS} select log_id, seq, t, round(speed, 6) + 0.0 as speed, source from winds")
@@ -194,10 +203,6 @@ def wind_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_samples(spark, sf_dir).select("seq", texts.wind_text(mean, mean + 5).alias("text"))
 
 
-def _cases(names: dict[int, str]) -> str:
-    return "case n " + " ".join(f"when {k} then '{v}'" for k, v in names.items()) + " else 'MODE_' || n end"
-
-
 @query(
     "str1_mode_name",
     f"""with {SAMPLES}, x as (select seq, log_id % 2 = 0 as copter, case when k % 4 = 3 then ' auto/' || series else cast(k % 30 as varchar) end as mode from samples), y as (select *, try_cast(mode as int) as n from x)
@@ -261,10 +266,9 @@ def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return params.diff_counts(params.param_diff(labelled_params(spark, sf_dir), LABELS, only_diff=False))
 
 
-@query("set2_param_names", f"with {SAMPLES}, {_PARAMS} select name from params where log_id = 0 union select name from params where log_id = 1")
+@query("set2_param_names", f"with {SAMPLES}, {_PARAMS} select distinct name from params")
 def param_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = _params(spark, sf_dir)
-    return every.where("log_id = 0").select("name").union(every.where("log_id = 1").select("name")).distinct()
+    return params.param_names(_params(spark, sf_dir))
 
 
 @query("cat21_searches", f"with {SAMPLES}, {_PARAMS}, {_DIFF.split(_PARAMS + ', ')[1]} select 'param' as kind, name from params where contains(upper(name), 'ICK1') union all select 'diff', name from diff where differs and contains(upper(name), 'ICK1') union all select 'message', 'Text ' || series || k from samples where contains(lower('Text ' || series || k), 'view1')")
