@@ -9,12 +9,12 @@ from flightframe.operators.series import SERIES
 
 
 def log_times(samples: DataFrame) -> DataFrame:
-    """(log_id, t_first, t_last, duration): least first and greatest last sample (in file order) of the log's series."""
-    finite = samples.where("t is not null and not isnan(t) and abs(t) < double('infinity')")
-    ends = finite.groupBy(*SERIES).agg(F.min_by("t", "seq").alias("a"), F.max_by("t", "seq").alias("b"))
-    times = ends.groupBy("log_id").agg(F.min("a").alias("t_first"), F.max("b").alias("t_last"))
-    every = samples.select("log_id").distinct().join(times, "log_id", "left")
-    return every.select("log_id", F.coalesce("t_first", F.lit(0.0)).alias("t_first"), F.coalesce("t_last", F.lit(0.0)).alias("t_last")).withColumn("duration", F.greatest(F.lit(0.0), F.col("t_last") - F.col("t_first")))
+    """(log_id, t_first, t_last, duration): least first and greatest last sample (in file order) of the log's series;
+    0 for logs without a finite time."""
+    place = F.when(F.col("t").isNotNull() & ~F.isnan("t") & (F.abs("t") < float("inf")), F.col("seq"))
+    ends = samples.groupBy(*SERIES).agg(F.min_by("t", place).alias("a"), F.max_by("t", place).alias("b"))
+    times = ends.groupBy("log_id").agg(F.coalesce(F.min("a"), F.lit(0.0)).alias("t_first"), F.coalesce(F.max("b"), F.lit(0.0)).alias("t_last"))
+    return times.withColumn("duration", F.greatest(F.lit(0.0), F.col("t_last") - F.col("t_first")))
 
 
 def total_duration(samples: DataFrame) -> DataFrame:
@@ -23,17 +23,18 @@ def total_duration(samples: DataFrame) -> DataFrame:
     return ends.groupBy("log_id").agg((F.max(F.greatest("a", "b")) - F.min(F.least("a", "b"))).alias("total"))
 
 
-def labelled(logs: DataFrame, order: str, width: int = 1_000_000) -> DataFrame:
+def labelled(logs: DataFrame, order: str, ranges: int = 200) -> DataFrame:
     """logs with label F1, F2, .. by a whole-number order column.
 
-    Counts per range of the order column give each range its start, so no task sees all logs.
+    Logs are numbered within ranges of about equal size; the ranges' counts, so many rows, give each range its start.
     """
-    ranges = logs.withColumn("__range", F.floor(F.col(order) / width))
-    counts = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    cuts = F.broadcast(logs.agg(F.percentile_approx(order, F.array(*(F.lit(k / ranges) for k in range(1, ranges)))).alias("__cuts")))  # one row
+    placed = logs.join(cuts).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__range", before.alias("__before"))
+    starts = F.broadcast(counts.select("__range", before.alias("__before")))
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(order))
-    return ranges.withColumn("__rank", rank).join(starts, "__range").withColumn("label", F.concat(F.lit("F"), (F.col("__before") + F.col("__rank")).cast("string"))).drop("__range", "__rank", "__before")
+    return placed.withColumn("__rank", rank).join(starts, "__range").withColumn("label", F.concat(F.lit("F"), (F.col("__before") + F.col("__rank")).cast("string"))).drop("__range", "__rank", "__before")
 
 
 def time_shift(logs: DataFrame, zero_align: str = "auto") -> DataFrame:

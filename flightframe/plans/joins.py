@@ -111,12 +111,12 @@ def equal_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.side_by_side(twins.join(same, "log_id", "left_semi"), ["a", "b"])
 
 
-#: Armed spans of a log: from each click on for two days; logs divisible by 5 have none.
-_CLICKS = "spans as (select log_id, 'S' as name, t as start_t, t + 172800 as end_t from samples where series = 'click' and k % 4 = 0 and log_id % 5 <> 0)"
+#: Armed spans of a log: from some clicks on for two days; logs without such clicks have none.
+_CLICKS = "spans as (select log_id, 'S' as name, t as start_t, t + 172800 as end_t from samples where series = 'click' and k % 4 = 0)"
 
 
 def click_spans(samples: DataFrame) -> DataFrame:
-    some = samples.where((F.col("series") == "click") & (F.col("k") % 4 == 0) & (F.col("log_id") % 5 != 0))
+    some = samples.where((F.col("series") == "click") & (F.col("k") % 4 == 0))
     return some.select("log_id", F.lit("S").alias("name"), F.col("t").alias("start_t"), (F.col("t") + 172800).alias("end_t"))
 
 
@@ -145,14 +145,14 @@ def clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     "join9_nearest_message",
     f"""with {SAMPLES}, m as (select log_id, round(floor(t) + 0.25, 3) as t, seq, 'text ' || k as text from samples where series = 'view'),
     q as (select log_id, seq as query, floor(t) + 0.5 as "at" from samples where series = 'click'),
-    r as (select q.*, m.t, m.seq, m.text, row_number() over (partition by query order by abs(m.t - q."at"), m.seq) as n from q join m on q.log_id = m.log_id)
+    r as (select q.*, m.t, m.seq, m.text, row_number() over (partition by query order by abs(m.t - q."at"), m.seq) as n from q left join m on q.log_id = m.log_id)
     select log_id, query, "at", t, seq, text from r where n = 1""",
 )
 def nearest_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = event_samples(spark, sf_dir)
     views = samples.where("series = 'view'").select("log_id", (F.floor("t") + F.lit(0.25)).alias("t"), "seq", F.concat(F.lit("text "), F.col("k").cast("string")).alias("text"))
     asked = samples.where("series = 'click'").select("log_id", F.col("seq").alias("query"), (F.floor("t") + F.lit(0.5)).alias("at"))
-    return align.nearest_message(views, asked).where("t is not null")
+    return align.nearest_message(views, asked)
 
 
 @query(
@@ -164,15 +164,31 @@ def stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.stride(event_samples(spark, sf_dir), 5).select("log_id", "series", "seq", "t", "v")
 
 
-@query(
-    "snk1_wide_export",
-    f"""with {SAMPLES}, {_COARSE}, {_FIRST} select timestamp, """ + ", ".join(f"max(v) filter (log_id = {k} and series = '{s}') as \"F{k}.{s}\"" for k in (1, 2, 3) for s in SERIES) + f" from firsts where log_id in (1, 2, 3) and series in ({', '.join(map(repr, SERIES))}) group by timestamp",
-)
-def wide_export_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three logs that were asked for, side by side."""
+#: A session's logs: the first eight by number, as many as one holds; series that were asked for in all of them.
+_SESSION = [f"F{k}" for k in range(1, 9)]
+_EXPORTED = f"""labels as (select log_id, 'F' || row_number() over (order by log_id) as label, t_first, user_offset from logs), chosen as (select * from labels where len(label) = 2 and label < 'F9'),
+moved as (select label || '.' || series as col, round_even(c.t - t_first + user_offset, 6)::double as timestamp, arg_min(c.v, c.seq) as v from coarse c join chosen l using (log_id) where series in ({", ".join(map(repr, SERIES))}) group by all)"""
+_COLUMNS = [f"{label}.{s}" for label in _SESSION for s in SERIES]
+_EXPORT_SQL = f"with {SAMPLES}, {_COARSE}, {_LOGS}, {_EXPORTED}, wide as (select timestamp, " + ", ".join(f"max(v) filter (col = '{c}') as \"{c}\"" for c in _COLUMNS) + " from moved group by timestamp)"
+
+
+def session_export(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The export of a session's logs in zero-aligned time."""
     samples = coarse(spark, sf_dir)
-    chosen = samples.select("log_id").distinct().where(F.col("log_id").isin(1, 2, 3)).withColumn("label", F.concat(F.lit("F"), F.col("log_id").cast("string")))
-    return wide_export(samples, chosen, SERIES)
+    every = logs.labelled(logs.time_shift(dimension(event_samples(spark, sf_dir)), "on"), "log_id")
+    chosen = every.where(F.col("label").isin(_SESSION))
+    asked = chosen.select("log_id", F.explode(F.array(*map(F.lit, SERIES))).alias("series"))
+    return wide_export(samples, chosen, asked, **options)
+
+
+@query("snk1_wide_export", f"{_EXPORT_SQL} select * from wide")
+def wide_export_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_export(spark, sf_dir)
+
+
+@query("snk1_filled_export", f"{_EXPORT_SQL} select timestamp, " + ", ".join(f"last_value(\"{c}\" ignore nulls) over w as \"{c}\"" for c in _COLUMNS) + " from wide window w as (order by timestamp rows between unbounded preceding and current row)")
+def filled_export_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_export(spark, sf_dir, fill="ffill")
 
 
 @query(
@@ -182,7 +198,7 @@ def wide_export_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_samples(spark, sf_dir).select("log_id", "series").distinct()
-    named = logs.labelled(rows.select("log_id").distinct(), "log_id", 1000)
+    named = logs.labelled(rows.select("log_id").distinct(), "log_id")
     several = named.agg(F.count("*").alias("n"))
     out = rows.join(named, "log_id").join(F.broadcast(several))  # one row
     return out.select("log_id", "series", logs.display_name(F.col("label"), F.col("series"), F.col("n")).alias("display"), logs.column_name(F.col("label"), F.col("series"), F.col("n")).alias("column_name"))

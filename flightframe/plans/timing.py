@@ -64,7 +64,7 @@ def time_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log4_labels", f"with {SAMPLES}, {_LOGS} select log_id, 'F' || row_number() over (order by log_id) as label from logs")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.labelled(event_samples(spark, sf_dir).select("log_id").distinct(), "log_id", 1000).select("log_id", "label")
+    return logs.labelled(event_samples(spark, sf_dir).select("log_id").distinct(), "log_id").select("log_id", "label")
 
 
 @query(

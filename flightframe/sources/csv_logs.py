@@ -34,7 +34,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_list(files: DataFrame) -> DataFrame:
-    """files(path, pos, there boolean) -> (path, load_no): missing ones and repeats left out, in order, from 1."""
+    """files(path, pos, there boolean) -> (path, label): missing ones and repeats left out; F1, F2, .. in order."""
     first = files.where("there and path is not null").groupBy("path").agg(F.min("pos").alias("pos"))
     from flightframe.operators.logs import labelled
 
@@ -45,15 +45,16 @@ def _comment(line: Column) -> Column:
     return F.trim(line).rlike("^(#|//)")
 
 
-def with_kind(lines: DataFrame) -> DataFrame:
-    """lines with first: the number of the log's first line that is neither blank nor a comment (its header)."""
-    content = (F.trim("line") != "") & ~_comment(F.col("line"))
-    return lines.withColumn("first", F.min(F.when(content, F.col("line_no"))).over(Window.partitionBy("log_id")))
+def headers(lines: DataFrame) -> DataFrame:
+    """(log_id, first, line): each log's first line that is neither blank nor a comment (its header), and its number."""
+    content = lines.where((F.trim("line") != "") & ~_comment(F.col("line")))
+    return content.groupBy("log_id").agg(F.min("line_no").alias("first"), F.min_by("line", "line_no").alias("line"))
 
 
 def header_comments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """params(log_id, name, value) of "key: value" comments before the header, and messages(log_id, t, text) of all."""
-    head = with_kind(lines).where(_comment(F.col("line")) & (F.col("first").isNull() | (F.col("line_no") < F.col("first"))))
+    comments = lines.where(_comment(F.col("line"))).join(headers(lines).select("log_id", "first"), "log_id", "left")
+    head = comments.where(F.col("first").isNull() | (F.col("line_no") < F.col("first")))
     text = F.trim(F.regexp_replace(F.trim("line"), "^[#/]+", ""))
     texts = head.select("log_id", "line_no", text.alias("text"))
     named = texts.where(F.col("text").contains(":"))
@@ -113,7 +114,7 @@ def time_position(names: Column) -> Column:
 
 def layouts(lines: DataFrame) -> DataFrame:
     """(log_id, first, sep, names, is_params, time_pos, msg_group), one row per log that has a header."""
-    header = with_kind(lines).where("line_no = first").select("log_id", "first", F.regexp_replace("line", "#.*$", "").alias("header")).withColumn("sep", delimiter(F.col("header")))
+    header = headers(lines).select("log_id", "first", F.regexp_replace("line", "#.*$", "").alias("header")).withColumn("sep", delimiter(F.col("header")))
     names = F.transform(F.split(F.col("header"), F.concat(F.lit("\\Q"), "sep", F.lit("\\E"))), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
     named = header.withColumn("names", names)
     low = F.transform("names", F.lower)
@@ -136,22 +137,36 @@ def param_rows(rows: DataFrame) -> DataFrame:
     return rows.where("is_params").select("log_id", "line_no", F.trim(F.when(first, a).otherwise(b)).alias("name"), F.when(first, b).otherwise(a).alias("value"))
 
 
+def _clock(rows: DataFrame) -> DataFrame:
+    """rows with t by their order: only logs without a time column need one."""
+    return rows.withColumn("t", (F.row_number().over(Window.partitionBy("log_id").orderBy("line_no")) - 1) * SYNTHETIC_STEP)
+
+
 def with_time(rows: DataFrame) -> DataFrame:
-    """rows with t in seconds; see the rules of the unit and of texts beside each expression."""
-    w = Window.partitionBy("log_id")
+    """rows with t in seconds; see the rules of the unit and of texts beside each expression.
+
+    What a log's values have in common is one aggregation, so a file's rows are never one task's.
+    """
     text = F.nullif(F.get("cells", F.col("time_pos") - 1), F.lit(""))
-    number, stamp = text.try_cast("double"), F.try_to_timestamp(text)
-    parsed = rows.withColumn("x", number).withColumn("when", F.unix_micros(stamp) / 1e6).withColumn("filled", text.isNotNull())
-    share = F.count("x").over(w) / F.count("*").over(w)
-    numeric = F.count("x").over(w) == F.count_if("filled").over(w)  # a numeric column keeps its blanks
-    first = F.min_by("when", F.when(F.col("when").isNotNull(), F.col("line_no"))).over(w)
-    seconds = F.when(numeric, F.col("x")).when(share > 0.5, F.coalesce("x", F.lit(0.0))).otherwise(F.coalesce(F.col("when") - first, F.lit(0.0)))
-    low = F.lower(F.col("names")[F.greatest(F.col("time_pos") - 1, F.lit(0))])
-    timed = parsed.withColumn("raw", seconds).withColumn("most", F.coalesce(F.max("raw").over(w), F.lit(0.0)))
+    timed = rows.where("time_pos > 0").withColumn("x", text.try_cast("double")).withColumn("when", F.unix_micros(F.try_to_timestamp(text)) / 1e6).withColumn("filled", text.isNotNull())
+    facts = timed.groupBy("log_id").agg(
+        F.count("*").alias("n"),
+        F.count("x").alias("n_x"),
+        F.count("when").alias("n_when"),
+        F.count_if("filled").alias("n_filled"),
+        F.max("x").alias("max_x"),
+        F.max("when").alias("max_when"),
+        F.min_by("when", F.when(F.col("when").isNotNull(), F.col("line_no"))).alias("first"),
+    )
+    numeric, mostly = F.col("n_x") == F.col("n_filled"), F.col("n_x") / F.col("n") > 0.5  # a numeric column keeps its blanks
+    seconds = F.when(numeric, F.col("x")).when(mostly, F.coalesce("x", F.lit(0.0))).otherwise(F.coalesce(F.col("when") - F.col("first"), F.lit(0.0)))
+    zero = lambda some: F.when(some < F.col("n"), 0.0)  # noqa: E731  (rows without a value count as 0)
+    greatest = F.when(numeric, F.col("max_x")).when(mostly, F.greatest("max_x", zero(F.col("n_x")))).otherwise(F.greatest(F.col("max_when") - F.col("first"), zero(F.col("n_when"))))
+    low, most = F.lower(F.col("names")[F.col("time_pos") - 1]), F.coalesce(greatest, F.lit(0.0))
     micro, milli = _has(low, MICROSECONDS), _has(low, MILLISECONDS)
-    scale = F.when(micro | ((F.col("most") > 1e8) & ~milli), 1e6).when(milli | ((F.col("most") > 1e5) & ~_has(low, EPOCHS)), 1e3).otherwise(1.0)
-    clock = (F.row_number().over(w.orderBy("line_no")) - 1) * SYNTHETIC_STEP
-    return timed.withColumn("t", F.when(F.col("time_pos") > 0, F.col("raw") / scale).otherwise(clock)).drop("x", "when", "filled", "raw", "most")
+    scale = F.when(micro | ((most > 1e8) & ~milli), 1e6).when(milli | ((most > 1e5) & ~_has(low, EPOCHS)), 1e3).otherwise(1.0)
+    known = timed.join(facts, "log_id").withColumn("t", seconds / scale).select(*rows.columns, "t")
+    return known.unionByName(_clock(rows.where("time_pos = 0")))
 
 
 def number_or_zero(text: Column) -> Column:
@@ -175,11 +190,11 @@ def vendor_samples(lines: DataFrame) -> DataFrame:
     listed = F.transform(F.array(*map(F.lit, VENDOR_TIMES)), lambda n: F.array_position("names", n))
     pos = F.coalesce(F.get(F.filter(listed, lambda p: p > 0), F.lit(0)), F.lit(0)).cast("int")
     rows = data_rows(lines, layout.withColumn("time_pos", pos).withColumn("sep", F.lit(",")))
-    w = Window.partitionBy("log_id")
-    raw = rows.withColumn("raw", F.get("cells", F.col("time_pos") - 1).try_cast("double"))
-    milli = (F.max("raw").over(w) > 10000) & F.lower(F.col("names")[F.greatest(F.col("time_pos") - 1, F.lit(0))]).contains("millisecond")
-    clock = (F.row_number().over(w.orderBy("line_no")) - 1) * SYNTHETIC_STEP
-    timed = raw.withColumn("t", F.when(F.col("time_pos") == 0, clock).when(milli, F.col("raw") / 1000).otherwise(F.col("raw")))
+    raw = rows.where("time_pos > 0").withColumn("raw", F.get("cells", F.col("time_pos") - 1).try_cast("double"))
+    most = raw.groupBy("log_id").agg(F.max("raw").alias("most"))
+    milli = (F.col("most") > 10000) & F.lower(F.col("names")[F.col("time_pos") - 1]).contains("millisecond")
+    known = raw.join(most, "log_id").withColumn("t", F.when(milli, F.col("raw") / 1000).otherwise(F.col("raw"))).select(*rows.columns, "t")
+    timed = known.unionByName(_clock(rows.where("time_pos = 0")))
     cells = timed.select("log_id", "line_no", "t", "time_pos", "names", F.posexplode("cells").alias("k", "cell")).where("k + 1 <> time_pos and k < size(names)")
     return cells.select("log_id", F.lit("DJI").alias("msg_type"), F.col("names")[F.col("k")].alias("field"), "line_no", "t", number_or_zero(F.col("cell")).alias("v"))
 
