@@ -126,12 +126,104 @@ def test_csv_job_reads_a_directory(spark, tmp_path):
 
 
 def test_wide_export_of_several_logs(spark, tmp_path):
-    df = series(spark, ("1", "ATT.Roll", [0, 1, 2], [1, 2, 3]), ("2", "ATT.Roll", [0.5, 1], [10, 20]))
-    dim = spark.createDataFrame([("1", "F1"), ("2", "F2")], "log_id string, label string")
-    wide = sinks.wide_export(df, dim, ["ATT.Roll"])
+    df = series(spark, ("1", "ATT.Roll", [10, 11, 12], [1, 2, 3]), ("2", "ATT.Roll", [0.5, 1], [10, 20]), ("2", "ATT.Yaw", [0.5], [7]), ("2", "GPS.Alt", [9], [9]))
+    dim = spark.createDataFrame([("1", "F1", -10.0), ("2", "F2", 0.0)], "log_id string, label string, shift double")
+    asked = spark.createDataFrame([("1", "ATT.Roll"), ("2", "ATT.Roll"), ("2", "ATT.Roll"), ("2", "none")], "log_id string, series string")
+    wide = sinks.wide_export(df, dim, asked)
     assert wide.columns == ["timestamp", "F1.ATT.Roll", "F2.ATT.Roll"]
-    assert sinks.write_csv(wide.coalesce(1), str(tmp_path / "out")) == 4
-    assert sinks.write_csv(wide.limit(0).coalesce(1), str(tmp_path / "none")) == 0
+    assert [tuple(r) for r in wide.orderBy("timestamp").collect()] == [(0, 1, None), (0.5, None, 10), (1, 2, 20), (2, 3, None)]
+    filled = sinks.wide_export(df, dim, asked, fill="ffill", low=0.5, high=1.0)
+    assert [tuple(r) for r in filled.orderBy("timestamp").collect()] == [(0.5, None, 10), (1, 2, 20)]
+    assert sinks.wide_export(df, dim, asked, scope="messages").columns == ["timestamp", "F1.ATT.Roll", "F2.ATT.Roll", "F2.ATT.Yaw"]
+    one = sinks.wide_export(df, dim.where("label = 'F2'"), asked)
+    assert one.columns == ["timestamp", "ATT.Roll"] and one.count() == 2
+    assert sinks.wide_export(df, dim, asked.where("series = 'none'")).count() == 0
+    assert sinks.write_csv(wide, str(tmp_path / "out")) == 4
+    assert sinks.write_csv(wide.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_wide_export_takes_equal_times_as_they_are(spark):
+    times = [0.00000012, 0.00000014, 2]
+    df = series(spark, ("1", "A.x", times, [1, 2, 3]), ("1", "A.y", times, [4, 5, 6]))
+    dim = spark.createDataFrame([("1", "F1", 0.0)], "log_id string, label string, shift double")
+    wide = sinks.wide_export(df, dim, df.select("log_id", "series"))
+    assert sorted(tuple(r) for r in wide.collect()) == [(times[0], 1, 4), (times[1], 2, 5), (2, 3, 6)]
+
+
+def test_wide_export_of_the_longest_segment(spark):
+    df = series(spark, ("1", "A.x", [*range(10), *range(100, 130)], range(40)))
+    dim = spark.createDataFrame([("1", "F1", -100.0)], "log_id string, label string, shift double")
+    assert [r.timestamp for r in sinks.wide_export(df, dim, df.select("log_id", "series"), segment="longest").orderBy("timestamp").collect()] == list(range(30))
+
+
+def test_forward_fill_hands_values_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(t), *(float(x) if rng.random() < 0.1 else (math.nan if rng.random() < 0.1 else None) for x in rng.normal(size=2))) for t in np.cumsum(rng.exponential(size=300) ** 4)]
+    got = sinks.forward_filled(spark.createDataFrame(rows, "timestamp double, a double, `b.c` double"), ["a", "b.c"], 16).orderBy("timestamp").collect()
+    last = [None, None]
+    for r, row in zip(got, rows, strict=True):
+        last = [old if new is None or math.isnan(new) else new for old, new in zip(last, row[1:])]
+        assert tuple(r) == (row[0], *last)
+
+
+def test_labels_in_ranges(spark):
+    ids = [5, -3, 7, 1 << 50, 12, 9]
+    got = {r.log_id: r.label for r in logs.labelled(spark.createDataFrame([(k,) for k in ids], "log_id long"), "log_id", 3).collect()}
+    assert got == {k: f"F{n}" for n, k in enumerate(sorted(ids), 1)}
+
+
+def test_vibration_goes_on_over_batches(spark):
+    rng = np.random.default_rng(6)
+    sizes = [700, 1, 2, 350, 3]
+    rows = [(f"l{k}", "x", np.cumsum(rng.exponential(0.02, n)), rng.normal(size=n)) for k, n in enumerate(sizes)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = calc.vibration(series(spark, *rows)).orderBy("log_id", "seq").toPandas()
+        bins = spectrum.spectrum(series(spark, *rows).withColumn("fs", F.lit(8.0))).orderBy("log_id", "bin").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for log, _, t, y in rows:
+        level, state, expected = y[0], 0.0, [0.0]
+        for k in range(1, len(y)):
+            dt = max(t[k] - t[k - 1], 1e-6)
+            level += dt / (dt + 1 / (10 * np.pi)) * (y[k] - level)
+            square = (y[k] - level) ** 2
+            state = square if k == 1 else state + dt / (dt + 1 / (4 * np.pi)) * (square - state)
+            expected.append(state**0.5)
+        np.testing.assert_allclose(got.loc[got.log_id == log, "v"], expected, rtol=1e-9, atol=1e-12)
+        mine, n = bins[bins.log_id == log], len(y)
+        if n > 1:
+            np.testing.assert_allclose(mine["freq"], np.fft.rfftfreq(n, 1 / 8))
+            np.testing.assert_allclose(mine["mag"], np.abs(np.fft.rfft((y - y.mean()) * np.hanning(n))) * 2 / n, atol=1e-9)
+        else:
+            assert mine["mag"].tolist() == [0.0]
+
+
+def test_mode_names_of_odd_texts(spark):
+    df = spark.createDataFrame([("99999999999",), ("007",), (" 5 ",), ("guided/x",), (None,)], "mode string")
+    got = [r[0] for r in df.select(texts.mode_name(F.col("mode"), F.lit(True))).collect()]
+    assert got == ["MODE_99999999999", texts.COPTER_MODES[7], texts.COPTER_MODES[5], "GUIDED", None]
+
+
+def test_armed_sources_in_order(spark):
+    def rows(log, message, field, values):
+        return [(log, message, field, k, float(k), float(v)) for k, v in enumerate(values)]
+
+    data = rows("a", "HEARTBEAT[S255]", "base_mode", [128, 128, 0]) + rows("a", "HEARTBEAT[S1]", "base_mode", [0, 200, 81, 0]) + rows("a", "HEARTBEAT", "base_mode", [128, 128])
+    data += rows("b", "HEARTBEAT[S1]", "base_mode", [0, 1]) + rows("b", "STAT", "ArmState", [1, 1]) + rows("b", "STAT", "Arm", [0, -1, 0.9, 2, 2, 0])
+    data += rows("c", "STAT", "Other", [1, 1])
+    fields = spark.createDataFrame(data, "log_id string, msg_type string, field string, seq long, t double, v double")
+    events = spark.createDataFrame([("c", 1.0, spans.ARM), ("c", 4.0, spans.DISARM)], "log_id string, t double, id int")
+    got = sorted(tuple(r) for r in spans.all_armed_spans(fields, events).select("log_id", "source", "start_t", "end_t").collect())
+    assert got == [("a", "HEARTBEAT[S1].base_mode", 1.0, 2.0), ("b", "STAT.Armed", 3.0, 5.0), ("c", "EV.Id (10/11)", 1.0, 4.0)]
+
+
+def test_first_spans_and_ends_of_modes(spark):
+    modes = spark.createDataFrame([(log, kind, True, float(t), t, m, 50.0) for log, kind in (("a", "binary"), ("b", "text"), ("c", "link")) for t, m in ((1, "5"), (60, "3"))], "log_id string, kind string, copter boolean, t double, seq long, mode string, log_end double")
+    found = spans.log_mode_spans(modes)
+    got = sorted((r.log_id, r.name, r.end_t) for r in found.where("start_t = 60").collect())
+    assert got == [("a", texts.COPTER_MODES[3], 61.0), ("b", "3", 61.0), ("c", "3", 70.0)]
+    assert [r.start_t for r in spans.first_spans(found, 1).collect()] == [1.0] * 3
 
 
 def test_segment_filter_falls_back_to_everything(spark):
