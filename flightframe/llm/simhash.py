@@ -25,6 +25,10 @@ SEED = 42
 FIRST_RADIUS, WIDE_RADIUS = 20, 34
 
 
+#: Pairs of tile rows that one task gets, about: they come to it in one Arrow batch.
+PAIRS_PER_TASK, WIDE_PAIRS_PER_TASK = 1024, 64
+
+
 def fingerprint(text: bytes, words: int = 3) -> int:
     """SimHash of one text: bit i is set if over half the shingles' XXH64 values (repeats included) have it set.
 
@@ -107,8 +111,14 @@ def fingerprint_links(spark: SparkSession, prints: DataFrame, radius: int = 3, t
     tiles = written(spark, salted.groupBy("cell", "part").agg(F.collect_list("bits").alias("fps")), "tiles")
     steps = [sum(d * 32**k for k, d in enumerate(delta)) for delta in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, delta)) <= radius]
     steps = sorted(s for s in steps if s >= 0)  # each unordered pair of tiles once
-    probes = tiles.select(F.explode(F.transform(F.array(*map(F.lit, steps)), lambda s: s + F.col("cell"))).alias("to"), "cell", "part", "fps")
-    pairs = probes.join(tiles.select(F.col("cell").alias("to"), F.col("part").alias("part_b"), F.col("fps").alias("fps_b")), "to").where("cell <> to or part <= part_b").select("fps", "fps_b")
+    # pairs of tile rows first, by name; the arrays go to pairs that there are, and each pair is dealt by itself
+    names = tiles.select("cell", "part")
+    probes = names.select(F.explode(F.transform(F.array(*map(F.lit, steps)), lambda s: s + F.col("cell"))).alias("to"), "cell", "part")
+    pairs = probes.join(names.select(F.col("cell").alias("to"), F.col("part").alias("part_b")), "to").where("cell <> to or part <= part_b")
+    pairs = written(spark, pairs.select("cell", "part", "to", "part_b"), "tile_pairs")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_PER_TASK)
+    first = pairs.join(tiles, ["cell", "part"]).join(tiles.select(F.col("cell").alias("to"), F.col("part").alias("part_b"), F.col("fps").alias("fps_b")), ["to", "part_b"])
+    sides = first.repartition(tasks, "cell", "part", "to", "part_b").select("fps", "fps_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +133,7 @@ def fingerprint_links(spark: SparkSession, prints: DataFrame, radius: int = 3, t
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return sides.mapInArrow(run, "a long, b long")
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -216,7 +226,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows:
     tiles = written(spark, lists.select("part", F.col("l.node").alias("n"), F.col("l.b0").alias("p"), F.col("l.b1").alias("q")).mapInArrow(pack, "part int, tile binary"), "tiles")
     probes = tiles.select(F.col("tile").alias("x"), F.col("part").alias("own"), F.explode(F.sequence("part", F.lit(parts - 1))).alias("part"))
     # the work is in the comparison: few bytes, but a task of its own for each few tile pairs
-    tasks = min(parts * (parts + 1) // 2, 64 * spark.sparkContext.defaultParallelism)
+    count = parts * (parts + 1) // 2
+    tasks = min(count, max(64 * spark.sparkContext.defaultParallelism, count // WIDE_PAIRS_PER_TASK))
     sides = probes.join(tiles.withColumnRenamed("tile", "y"), "part").select("x", "y", "own", "part", (F.col("own") == F.col("part")).alias("same")).repartition(tasks, "own", "part")
     pairs = written(spark, sides.select("x", "y", "same").mapInArrow(compare, "a long, b long"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
