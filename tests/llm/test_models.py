@@ -168,6 +168,21 @@ def test_pipeline_drops_copies_and_leaks_but_no_clean_text(spark):
     assert kept == set(range(12))
 
 
+def test_pipeline_stages_take_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one line"), (3, "one line"), (3, "another text of this id"), (None, "one line"), (None, None), (4, "x" * 200_000)]
+    docs = spark.createDataFrame([(k, t, None, "s", 1, "clash") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        after = stage(spark, docs, SF_DIR).cache()
+        assert name == "byte_bpe" or after.columns == docs.columns
+        assert after.where("doc_id is null").count() == 2 and 0 < after.count() <= docs.count()
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+        docs = after
+    last = {(r.doc_id, r.text): r for r in docs.collect()}
+    assert last[4, "x" * 200_000].n_tokens == len(bytes(last[4, "x" * 200_000].ids)) // 4 and all(r.text is not None for r in last.values())
+    quality_stage = corpus_pipeline.STAGES[0][1]
+    assert quality_stage(spark, spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string"), SF_DIR).columns == ["doc_id", "text"]
+
+
 def test_vocabulary_bound(tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "MOST_VOCABULARY_BYTES", 10)
     (tmp_path / "v").write_bytes(b"YQ== 0\nYg== 1\n")
