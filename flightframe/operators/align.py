@@ -74,11 +74,15 @@ def outer_join(samples: DataFrame, series: Sequence[str], fill: str = "none") ->
     return wide
 
 
+def time_shapes(samples: DataFrame) -> DataFrame:
+    """(log_id, series, n, h): the number and a hash of a series' times; those of equal times in one order are equal."""
+    row = F.row_number().over(Window.partitionBy(*SERIES).orderBy("t", "seq"))
+    return samples.withColumn("row", row).groupBy(*SERIES).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "t")).alias("h"))
+
+
 def equal_times(samples: DataFrame) -> DataFrame:
     """(log_id, equal boolean): whether all series of a log have the same times in the same order."""
-    row = F.row_number().over(Window.partitionBy(*SERIES).orderBy("t", "seq"))
-    shape = samples.withColumn("row", row).groupBy(*SERIES).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "t")).alias("h"))
-    return shape.groupBy("log_id").agg(((F.count_distinct("n") == 1) & (F.count_distinct("h") == 1)).alias("equal"))
+    return time_shapes(samples).groupBy("log_id").agg(((F.count_distinct("n") == 1) & (F.count_distinct("h") == 1)).alias("equal"))
 
 
 def side_by_side(samples: DataFrame, series: Sequence[str]) -> DataFrame:
