@@ -561,3 +561,15 @@ def test_short_items_match_whole(spark):
     docs = frame(spark, ["a b three, SHORT words c", "three short other words", "so seven words are less than eight words", "seven words are less than nine words", "x unique", "", None])
     got = {(r.doc_id, r.item_id, r.equal) for r in decontaminate.overlaps(spark, docs, items).collect()}
     assert got == {(0, 1, 3), (2, 2, 7), (4, 4, 1)}
+
+
+def test_clashing_columns_and_empty_tables_of_queries(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine", 5, "x")], "doc_id long, text string, item_id long, n_items string")
+    items = spark.createDataFrame([(9, "One two, three four five six seven eight nine", 1)], "item_id long, text string, doc_id long")
+    assert [(r.doc_id, r.item_id, r.equal) for r in decontaminate.overlaps(spark, docs, items).collect()] == [(1, 9, 9)]
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x", "h", "t", "p")], "page_id long, url string, html string, http_header string, text string, payload string")
+    assert sorted(r.block for r in warc.derivatives(warc.page_responses(pages)).collect())[1] == "x"
+    for name in ("documents", "pages", "labels", "benchmark"):
+        spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in registry.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
