@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flightframe.llm import bpe, decontaminate, divergence, line_dedup, quality, simhash, substring, telephony, top_k, toxicity, url_filter, warc
+from flightframe.llm import bpe, decontaminate, divergence, line_dedup, prefix_trie, quality, simhash, substring, telephony, top_k, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring": substring.op8_substring,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_telephony": telephony.op10_telephony,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_divergence": divergence.op12_divergence,
     "op13_top_k": top_k.op13_top_k,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op4_warc_derivatives": warc.OP4_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
     "op13_top_k": top_k.OP13_SQL,
 }
