@@ -166,7 +166,7 @@ def test_top_k_against_all_pairs(spark, monkeypatch, shard, leaf):
     rows = [(k, (centres[k % 4] + rng.normal(0, 0.1, 6)).astype(np.float32).tolist()) for k in range(160)]
     rows += [(200 + k, rows[5][1]) for k in range(25)]  # copies of one vector
     rows += [(3, rows[5][1]), (205, rows[5][1]), (5, rows[7][1]), (None, rows[5][1]), (None, [1.0] * 6)]  # repeated ids and rows
-    rows += [(300, None), (305, [None, 1.0]), (310, [float("nan")] * 6), (315, [float("inf")] * 6), (320, []), (321, []), (325, [2.0, 3.0]), (330, [0.0] * 6), (335, [1e9] * 6), (340, [-1e9] * 6)]
+    rows += [(300, None), (305, [None, 1.0]), (310, [float("nan")] * 6), (315, [float("inf")] * 6), (320, []), (321, []), (325, [2.0, 3.0]), (330, [0.0] * 6), (335, [1e6] * 6), (340, [-1e6] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("key", "x", "dim", "part", "score", "rank")}).repartition(3)
     assert rows_of(top_k.top_k(spark, df, F.col("vec_id") % 5 == 0, 5), *TOP) == plain_top(rows, 5, 5)
 
