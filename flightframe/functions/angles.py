@@ -20,11 +20,14 @@ def wrap_360(x: Column) -> Column:
     return F.pmod(x, F.lit(360.0))
 
 
-def unwrap(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """samples with v (degrees) made continuous: a step over half a turn is taken the short way round."""
-    step = F.col("v") - F.lag("v").over(in_order(keys))
+def turn_fix(step: Column) -> Column:
+    """What makes a step of an angle (degrees) the short way round; 0 for steps below half a turn and for none."""
     short = F.pmod(step + 180.0, F.lit(360.0)) - 180.0
     short = F.when((short == -180.0) & (step > 0), 180.0).otherwise(short)
-    fix = F.when(F.abs(step) < 180.0, 0.0).otherwise(short - step)
-    turned = samples.withColumn("fix", F.coalesce(fix, F.lit(0.0)))
+    return F.coalesce(F.when(F.abs(step) < 180.0, 0.0).otherwise(short - step), F.lit(0.0))
+
+
+def unwrap(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """samples with v (degrees) made continuous: a step over half a turn is taken the short way round."""
+    turned = samples.withColumn("fix", turn_fix(F.col("v") - F.lag("v").over(in_order(keys))))
     return turned.withColumn("v", F.col("v") + F.sum("fix").over(so_far(keys))).drop("fix")

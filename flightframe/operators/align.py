@@ -7,32 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightframe.operators import scans
 from flightframe.operators.series import SERIES
 
 
-def interpolate(base: DataFrame, other: DataFrame, keys: Sequence[str] = ("log_id",)) -> DataFrame:
+def interpolate(base: DataFrame, other: DataFrame, keys: Sequence[str] = ("log_id",), long: bool = False) -> DataFrame:
     """base(keys, t, ..) with other: the value of other(keys, t, v) at each time, end values held outside its range.
 
     One shuffle: both sides are put into one table, and the neighbours of a base row come from two running windows
-    (up and down in time; a window that looks forward would be recomputed for every row).
+    (up and down in time; a window that looks forward would be recomputed for every row).  long: the table is dealt by ranges of
+    time too, and neighbours in other pieces are handed in.
     """
     columns = [c for c in base.columns if c not in keys and c != "t"]
     left = base.select(*keys, "t", F.struct(*columns, F.lit(True).alias("__base")).alias("row"), F.lit(None).cast("struct<t:double,v:double>").alias("point"))
     right = other.select(*keys, "t", F.lit(None).cast(left.schema["row"].dataType).alias("row"), F.struct("t", "v").cast("struct<t:double,v:double>").alias("point"))
     up = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy(*keys).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = left.unionByName(right).withColumn("a", F.last("point", True).over(up)).withColumn("b", F.last("point", True).over(down))
+    if long:
+        both = scans.pieces(left.unionByName(right), ["t"], keys)
+        both = scans.filled(scans.filled(both, ["point"], "t", keys, names=["a"]), ["point"], "t", keys, down=True, names=["b"])
+    else:
+        both = left.unionByName(right).withColumn("a", F.last("point", True).over(up)).withColumn("b", F.last("point", True).over(down))
     slope = (F.col("b.v") - F.col("a.v")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0))
     value = F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("a.t") == F.col("b.t")), F.col("a.v")).otherwise(slope * (F.col("t") - F.col("a.t")) + F.col("a.v"))
     return both.where("row is not null").select(*keys, "t", *(F.col(f"row.{c}").alias(c) for c in columns), value.alias("other"))
 
 
-def low_rate_pair(samples: DataFrame, a: str, b: str) -> DataFrame:
+def low_rate_pair(samples: DataFrame, a: str, b: str, long: bool = False) -> DataFrame:
     """(log_id, t, seq, va, vb) of logs that have both: the series with fewer samples gives the times (on a tie b)."""
     two = samples.where(F.col("series").isin(a, b))
     counts = two.groupBy("log_id").agg(F.count_if(F.col("series") == a).alias("na"), F.count_if(F.col("series") == b).alias("nb")).where("na > 0 and nb > 0")
     sided = two.join(counts.select("log_id", F.when(F.col("na") < F.col("nb"), a).otherwise(b).alias("base")), "log_id")
-    rows = interpolate(sided.where("series = base").select("log_id", "t", "seq", "series", "v"), sided.where("series <> base").select("log_id", "t", "v"))
+    rows = interpolate(sided.where("series = base").select("log_id", "t", "seq", "series", "v"), sided.where("series <> base").select("log_id", "t", "v"), long=long)
     first = F.col("series") == a
     return rows.select("log_id", "t", "seq", F.when(first, F.col("v")).otherwise(F.col("other")).alias("va"), F.when(first, F.col("other")).otherwise(F.col("v")).alias("vb"))
 
@@ -62,12 +68,15 @@ def rounded_times(samples: DataFrame) -> DataFrame:
     return rounded.groupBy(*SERIES, "timestamp").agg(F.min_by("v", F.struct("t", "seq")).alias("v"))
 
 
-def outer_join(samples: DataFrame, series: Sequence[str], fill: str = "none") -> DataFrame:
+def outer_join(samples: DataFrame, series: Sequence[str], fill: str = "none", long: bool = False) -> DataFrame:
     """(log_id, timestamp, a column per series): the union of the rounded times; missing is null or the value before.
 
     fill "ffill" carries values on per column (NaN too); gaps at the start stay null.
     """
     wide = rounded_times(samples).groupBy("log_id", "timestamp").pivot("series", list(series)).agg(F.first("v"))
+    if fill == "ffill" and long:
+        bare = wide.select("log_id", "timestamp", *(F.nanvl(F.col(f"`{s}`"), F.lit(None)).alias(s) for s in series))
+        return scans.filled(scans.pieces(bare, ["timestamp"], ["log_id"]), series, "timestamp", ["log_id"]).drop(scans.PIECE)
     if fill == "ffill":
         w = Window.partitionBy("log_id").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         wide = wide.select("log_id", "timestamp", *(F.last(F.nanvl(F.col(f"`{s}`"), F.lit(None)), True).over(w).alias(s) for s in series))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightframe.functions.angles import unwrap, wrap_180
+from flightframe.operators import scans
 from flightframe.operators.align import high_rate_rows, interpolate, low_rate_pair
 from flightframe.operators.series import SERIES, runs_begin
 
@@ -100,13 +101,105 @@ def vibration(samples: DataFrame, floor_hz: float = 5.0, vibe_hz: float = 2.0, k
     return ordered.mapInArrow(run, ordered.schema)
 
 
-def low_pass(x, rate, before: float):
-    """h[i] = h[i - 1] + rate[i] * (x[i] - h[i - 1]), h[-1] = before; in log2(n) steps, each of which doubles the number
-    of values behind a position that are summed up.  Where rate is 1 nothing before counts, not even NaN."""
+def long_vibration(samples: DataFrame, floor_hz: float = 5.0, vibe_hz: float = 2.0, keys: Sequence[str] = SERIES, parts: int | None = None) -> DataFrame:
+    """vibration of series of any length, spread over tasks.
+
+    A low-pass makes each value an affine map (keep, add) of the one before, and maps of neighbours compose to one.  So each
+    piece of a series is first one map; applied in order they give each piece the value it begins with.  That is done for
+    the first filter, then, with its values known, for the second.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    keep, h = 1 - rate, rate * x
-    h[0] += keep[0] * before if keep[0] else 0.0
+    marks = (*keys, scans.PIECE)
+    order = ["t", "seq"]
+    plain = samples.withColumn("v", F.col("v").cast("double"))
+    columns = plain.columns
+    cut = scans.pieces(plain, order, keys, parts)
+    rows = scans.with_previous(scans.numbered(cut, order, keys), "t", "__before", order, keys)
+
+    def filtered(batches: Iterator[pa.RecordBatch], second: bool) -> Iterator[tuple]:
+        """Of each batch where pieces begin, the factors of the filter asked for, its values, and the rows' numbers."""
+        piece, level_end, state_end = None, 0.0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = runs_begin(batch, marks)
+            new[0] = piece != tuple(batch.column(k)[0].as_py() for k in marks)
+            t, y, before, level, state = (np.asarray(batch.column(c).fill_null(np.nan), float) for c in ("t", "v", "__before", "__level", "__state"))
+            row, dt = np.asarray(batch.column("row")), np.maximum(t - before, 1e-6)
+
+            def run(x, hz: float, settled: int, begins, ended: float) -> tuple:
+                """A filter that takes over its input up to row `settled`; a piece begins with the value given for it, or goes on."""
+                rate = np.where(row <= settled, 1.0, dt / (dt + 1 / (2 * np.pi * hz)))
+                factor, add = 1 - rate, rate * x
+                start = np.where(new, begins, 0.0)  # noqa: B023
+                start[0] = begins[0] if new[0] else ended  # noqa: B023
+                starts = new | (np.arange(len(x)) == 0)  # noqa: B023
+                taken = starts & (factor != 0)
+                add[taken] += factor[taken] * start[taken]
+                return factor, affine(np.where(starts, 0.0, factor), add)
+
+            factor, values = run(y, floor_hz, 0, level, level_end)
+            level_end = values[-1]
+            if second:
+                factor, values = run((y - values) ** 2, vibe_hz, 1, state, state_end)
+                state_end = values[-1]
+            piece = tuple(batch.column(k)[-1].as_py() for k in marks)
+            yield batch, new, factor, values, row
+
+    def as_maps(second: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, kinds = None, None
+            for batch, new, factor, values, _ in filtered(batches, second):
+                kinds, done = [batch.schema.field(k).type for k in marks], []
+                starts = np.flatnonzero(new | (np.arange(len(new)) == 0))
+                for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True):
+                    keep, add = float(factor[low:high].prod()), float(values[high - 1])
+                    if new[low]:
+                        if held:
+                            done.append(held)
+                        held = (*(batch.column(k)[low].as_py() for k in marks), keep, add)
+                    else:
+                        held = (*held[:-2], held[-2] * keep, add)
+                yield maps(done, kinds)
+            if held:
+                yield maps([held], kinds)
+
+        def maps(found: list, kinds: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate([*kinds, pa.float64(), pa.float64()])], [*marks, "keep", "add"])
+
+        return run
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, values, row in filtered(batches, True):
+            out = np.sqrt(np.maximum(np.where(row == 0, 0.0, values), 0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(out) if c == "v" else batch.column(c) for c in columns], columns)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*marks).sortWithinPartitions(*marks, *order)
+
+    def with_start(rows: DataFrame, second: bool, name: str) -> DataFrame:
+        """rows with the value that a piece begins with: the maps of the pieces before it, one after the other, from 0."""
+        maps = dealt(rows).mapInArrow(as_maps(second), rows.select(*marks).schema.add("keep", "double").add("add", "double"))
+        earlier = F.collect_list(F.struct("keep", "add")).over(Window.partitionBy(*keys).orderBy(scans.PIECE).rowsBetween(Window.unboundedPreceding, -1))
+        value = F.aggregate(earlier, F.lit(0.0), lambda h, m: F.when(m["keep"] == 0, m["add"]).otherwise(m["keep"] * h + m["add"]))
+        begins = maps.select(*(F.col(k).alias(f"__{k}") for k in marks), value.alias("__begins"))
+        same = F.lit(True)
+        for k in marks:
+            same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return scans.stored(rows.join(begins, same, "left").withColumn(name, F.col("__begins")).drop("__begins", *(f"__{k}" for k in marks)), "filters")
+
+    levelled = with_start(rows.withColumns({"__level": F.lit(0.0), "__state": F.lit(0.0)}), False, "__level")
+    return dealt(with_start(levelled, True, "__state")).mapInArrow(finish, plain.schema)
+
+
+def affine(keep, add):
+    """h[i] = keep[i] * h[i - 1] + add[i], h[-1] = 0; in log2(n) steps, each of which doubles the number of values behind a position
+    that are summed up.  Where keep is 0 nothing before counts, not even NaN."""
+    import numpy as np
+
+    keep, h = keep.copy(), add.copy()
     step = 1
     while step < len(h):
         earlier = np.where(keep[step:] == 0, 0.0, keep[step:] * np.where(keep[step:] == 0, 0.0, h[:-step]))
@@ -116,6 +209,13 @@ def low_pass(x, rate, before: float):
     return h
 
 
+def low_pass(x, rate, before: float):
+    """h[i] = h[i - 1] + rate[i] * (x[i] - h[i - 1]), h[-1] = before."""
+    add = rate * x
+    add[0] += (1 - rate[0]) * before if rate[0] != 1 else 0.0
+    return affine(1 - rate, add)
+
+
 def vibration_magnitude(samples: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(log_id, t, seq, a column per field, vibe_mag): vibration of each axis at the times of the highest-rate one."""
     axes = vibration(high_rate_rows(samples, fields).withColumnRenamed("field", "series").select("log_id", "series", "seq", "t", "v"))
