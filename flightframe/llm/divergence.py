@@ -33,7 +33,7 @@ LEAST, SMOOTH, UNIT, TOP = 30, 5, 10**9, 50
 #: Kept terms of a block and groups of a tile, about.
 BLOCK, TILE = 2048, 64
 #: Bytes of text that are counted at once; a text of more than twice as many is counted in pieces.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 #: Bytes of terms; and bytes of terms with A-Z lower-cased, all others as spaces.
 TERMS = np.zeros(256, bool)
