@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightframe.operators import scans
@@ -83,10 +83,17 @@ def outer_join(samples: DataFrame, series: Sequence[str], fill: str = "none", lo
     return wide
 
 
+def occurrences() -> Column:
+    """The place of a sample among those of its series and time, from 1."""
+    return F.row_number().over(Window.partitionBy(*SERIES, "t").orderBy("seq"))
+
+
 def time_shapes(samples: DataFrame) -> DataFrame:
-    """(log_id, series, n, h): the number and a hash of a series' times; those of equal times in one order are equal."""
-    row = F.row_number().over(Window.partitionBy(*SERIES).orderBy("t", "seq"))
-    return samples.withColumn("row", row).groupBy(*SERIES).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "t")).alias("h"))
+    """(log_id, series, n, h): the number and a hash of a series' times; those of equal times in order are equal.
+
+    Times in order are told by how often each comes, so no task needs a whole series.
+    """
+    return samples.withColumn("row", occurrences()).groupBy(*SERIES).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", "t")).alias("h"))
 
 
 def equal_times(samples: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from flightframe.operators import align, logs
 from flightframe.plans.base import SAMPLES, query, rounded_all
 from flightframe.plans.timing import _LOGS, dimension
 from flightframe.sources.events import event_samples
-from flightframe.sources.sinks import wide_export
+from flightframe.sources.sinks import export_csv, wide_export
+from flightframe.sources.store import shared_folder
 
 SERIES = ["click", "error", "purchase"]
 
@@ -191,6 +194,41 @@ def filled_export_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_export(spark, sf_dir, fill="ffill")
 
 
+#: A request that grows with the table: the series of all logs that have a value of 50 or more.
+_ASKED = f"""labels as (select log_id, 'F' || row_number() over (order by log_id) as label, t_first, user_offset from logs),
+asked as (select log_id, series from samples where series in ({", ".join(map(repr, SERIES))}) group by all having max(v) >= 50),
+cells as (select round_even(c.t - t_first + user_offset, 6)::double as timestamp, label || '.' || series as "column", arg_min(c.v, c.seq) as v from coarse c join asked using (log_id, series) join labels using (log_id) group by all)"""
+
+
+def export_file(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """(timestamp, column, v) of the values in the file of an export of all logs, as read from it."""
+    samples = coarse(spark, sf_dir)
+    every = logs.labelled(logs.time_shift(dimension(event_samples(spark, sf_dir)), "on"), "log_id")
+    asked = samples.where(F.col("series").isin(SERIES)).groupBy("log_id", "series").agg(F.max("v").alias("most")).where("most >= 50").select("log_id", "series")
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}.csv"
+    export_csv(samples, every, asked, path, **options)
+    fields = spark.read.text(path).select(F.split("value", ",", -1).alias("f"))
+    is_header = F.col("f")[0] == "timestamp"
+    names = fields.where(is_header).select(F.posexplode("f").alias("pos", "column"))
+    values = fields.where(~is_header).select(F.col("f")[0].cast("double").alias("timestamp"), F.posexplode("f").alias("pos", "text")).where("pos > 0 and text <> ''")
+    return values.join(F.broadcast(names), "pos").select("timestamp", "column", F.col("text").cast("double").alias("v"))  # a row per column
+
+
+@query("snk1_csv_file", f"with {SAMPLES}, {_COARSE}, {_LOGS}, {_ASKED} select * from cells")
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export_file(spark, sf_dir)
+
+
+@query(
+    "snk1_filled_csv_file",
+    f"""with {SAMPLES}, {_COARSE}, {_LOGS}, {_ASKED}, grid as (select timestamp, "column" from (select distinct timestamp from cells), (select distinct "column" from cells)),
+    filled as (select timestamp, "column", last_value(v ignore nulls) over (partition by "column" order by timestamp rows between unbounded preceding and current row) as v from grid left join cells using (timestamp, "column"))
+    select * from filled where v is not null""",
+)
+def filled_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export_file(spark, sf_dir, fill="ffill")
+
+
 @query(
     "cat19_output_names",
     f"""with {SAMPLES}, {_LOGS}, l as (select log_id, 'F' || row_number() over (order by log_id) as label from logs), x as (select distinct log_id, series from samples)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,8 +139,44 @@ def test_wide_export_of_several_logs(spark, tmp_path):
     one = sinks.wide_export(df, dim.where("label = 'F2'"), asked)
     assert one.columns == ["timestamp", "ATT.Roll"] and one.count() == 2
     assert sinks.wide_export(df, dim, asked.where("series = 'none'")).count() == 0
-    assert sinks.write_csv(wide, str(tmp_path / "out")) == 4
-    assert sinks.write_csv(wide.limit(0), str(tmp_path / "none")) == 0
+    assert sinks.write_csv(wide, str(tmp_path / "out.csv"), 3) == 4
+    assert (tmp_path / "out.csv").read_text() == "timestamp,F1.ATT.Roll,F2.ATT.Roll\n0.0,1.0,\n0.5,,10.0\n1.0,2.0,20.0\n2.0,3.0,\n"
+    assert sinks.write_csv(wide.limit(0), str(tmp_path / "none.csv")) == 0
+    assert (tmp_path / "none.csv").read_text() == "timestamp,F1.ATT.Roll,F2.ATT.Roll\n"
+    with pytest.raises(FileExistsError):
+        sinks.write_csv(wide, str(tmp_path / "out.csv"))
+    assert sinks.export_csv(df, dim, asked, str(tmp_path / "lines.csv"), parts=3) == 4
+    assert (tmp_path / "lines.csv").read_text() == (tmp_path / "out.csv").read_text()
+    assert sinks.export_csv(df, dim, asked, str(tmp_path / "filled.csv"), fill="ffill", parts=3) == 4
+    assert (tmp_path / "filled.csv").read_text().split()[1:] == ["0.0,1.0,", "0.5,1.0,10.0", "1.0,2.0,20.0", "2.0,3.0,20.0"]
+    assert sinks.export_csv(df, dim, asked.where("series = 'none'"), str(tmp_path / "no.csv")) == 0
+    assert (tmp_path / "no.csv").read_text() == "timestamp\n"
+    assert sorted(f.name for f in tmp_path.iterdir() if not f.name.startswith(".")) == ["filled.csv", "lines.csv", "no.csv", "none.csv", "out.csv"]
+
+
+def test_export_is_one_file_in_order_of_time(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    df = series(spark, *((f"{log}", f"A.{name}", np.round(rng.exponential(1, 60).cumsum() ** 3, 2).tolist(), rng.normal(size=60).tolist()) for log in range(12) for name in "xyz"))
+    dim = spark.createDataFrame([(f"{log}", f"F{log + 1}", -0.5 * log) for log in range(12)], "log_id string, label string, shift double")
+    asked = df.select("log_id", "series")
+    wide = sinks.wide_export(df, dim, asked, fill="ffill").toPandas().sort_values("timestamp", ignore_index=True)
+    for fill in ("none", "ffill"):
+        assert sinks.export_csv(df, dim, asked, str(tmp_path / f"{fill}.csv"), fill=fill, parts=11) == len(wide)
+        lines = (tmp_path / f"{fill}.csv").read_text().splitlines()
+        times = [float(line.split(",", 1)[0]) for line in lines[1:]]
+        assert times == sorted(times) and sum(line.startswith("timestamp") for line in lines) == 1 and {line.count(",") for line in lines} == {36}
+    pd.testing.assert_frame_equal(pd.read_csv(tmp_path / "ffill.csv"), wide[["timestamp", *sorted(wide.columns[1:])]], check_dtype=False)
+
+
+def test_export_of_twenty_thousand_columns(spark, tmp_path):
+    n = 20_000
+    df = spark.range(n).selectExpr("cast(id as string) as log_id", "'A.x' as series", "id as seq", "double(id % 40) as t", "double(id) as v")
+    dim = spark.range(n).selectExpr("cast(id as string) as log_id", "concat('F', id) as label", "0d as shift")
+    for fill, cells in (("none", n), ("ffill", sum(n - k * n // 40 for k in range(40)))):
+        assert sinks.export_csv(df, dim, df.select("log_id", "series"), str(tmp_path / f"{fill}.csv"), fill=fill, parts=5) == 40
+        lines = (tmp_path / f"{fill}.csv").read_text().splitlines()
+        assert len(lines) == 41 and {line.count(",") for line in lines} == {n}
+        assert sum(sum(x != "" for x in line.split(",")[1:]) for line in lines[1:]) == cells
 
 
 def test_wide_export_takes_equal_times_as_they_are(spark):
