@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightframe.functions import expressions
 from flightframe.functions.angles import unwrap, wrap_180
 from flightframe.operators import scans
 from flightframe.operators.align import high_rate_rows, interpolate, low_rate_pair
@@ -223,17 +224,32 @@ def vibration_magnitude(samples: DataFrame, fields: Sequence[str]) -> DataFrame:
     return vector_magnitude(wide, list(fields), "vibe_mag")
 
 
-def expression(samples: DataFrame, inputs: dict[str, str], text: str, name: str) -> DataFrame:
-    """A SQL expression over series of one log, combined by position; names in it stand for series (inputs[name]).
+#: Messages whose times a constant takes, in order.
+CONSTANT_TIMES = ["ATT", "POS", "GPS", "BARO", "IMU"]
 
-    Times are those of the first input; rows that not all inputs have are left out.
+
+def expression(samples: DataFrame, text: str, name: str) -> DataFrame:
+    """A user's expression (functions.expressions) over series of one log, combined by position.
+
+    The names of series are found in the text, longer ones first, so GPS.Alt is not found in GPS.AltMSL.  Times are those of the longest
+    name (the first in order of letters on ties); positions that not all of them have, and logs without one of them, are left out.  A text without a series
+    has its value at the times of the first message of CONSTANT_TIMES that the log has, else of its first message in order of letters.
+    A name without a dot becomes CALC.name.  A text that is no expression raises ValueError before any job starts, one with unknown
+    names when the names of series are known.
     """
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.partitionBy(*SERIES).orderBy("t", "seq")).alias("row")
-    numbered = samples.where(F.col("series").isin(*inputs.values())).select("log_id", "series", "seq", "t", "v", row)
-    first = next(iter(inputs.values()))
-    cells = [F.first(F.when(F.col("series") == s, F.col("v")), True).alias(n) for n, s in inputs.items()]
-    wide = numbered.groupBy("log_id", "row").agg(*cells, *(F.first(F.when(F.col("series") == first, F.col(c)), True).alias(c) for c in ("t", "seq")))
-    whole = wide.where(" and ".join(f"`{n}` is not null" for n in inputs))
-    return named(whole.withColumn("v", F.expr(text).cast("double")), name)
+    expressions.parsed(text)
+    found = [r["series"] for r in samples.select("series").distinct().where(F.contains(F.lit(text), F.col("series"))).collect()]  # substrings of the text
+    short, names = expressions.with_places(text, found)
+    value = expressions.as_column(short, {f"series_{k}": F.col(f"series_{k}") for k in range(len(names))})
+    full = name if "." in name else f"CALC.{name}"
+    if not names:
+        message = F.substring_index("series", ".", 1)
+        rank = F.array_position(F.array(*map(F.lit, CONSTANT_TIMES)), message)
+        first = samples.groupBy("log_id").agg(F.min(F.struct(F.when(rank == 0, len(CONSTANT_TIMES) + 1).otherwise(rank).alias("rank"), message.alias("message"), "series")).alias("f")).select("log_id", F.col("f.series").alias("series"))
+        return samples.join(first, list(SERIES), "left_semi").select("log_id", F.lit(full).alias("series"), "seq", "t", value.alias("v"))
+    numbered = scans.numbered(scans.pieces(samples.where(F.col("series").isin(names)).select(*SERIES, "seq", "t", F.col("v").cast("double").alias("v")), ["t", "seq"]), ["t", "seq"])
+    cells = [F.first(F.when(F.col("series") == s, F.struct("v")), True).alias(f"cell_{k}") for k, s in enumerate(names)]
+    wide = numbered.groupBy("log_id", "row").agg(*cells, *(F.first(F.when(F.col("series") == names[0], F.col(c)), True).alias(c) for c in ("t", "seq")))
+    whole = wide.where(" and ".join(f"cell_{k} is not null" for k in range(len(names))))
+    rows = whole.select("log_id", "seq", "t", *(F.col(f"cell_{k}.v").alias(f"series_{k}") for k in range(len(names))))
+    return rows.select("log_id", F.lit(full).alias("series"), "seq", "t", value.alias("v"))

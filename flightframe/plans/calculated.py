@@ -133,7 +133,27 @@ def vibe_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     select a.log_id, 'CALC.mix' as series, a.seq, a.t, round(sqrt(abs(a.v)) + 2 * b.v - sin(b.v), 6) + 0.0 as v from n a join n b on a.log_id = b.log_id and a.r = b.r and a.series = 'click' and b.series = 'view'""",
 )
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_all(calc.expression(event_samples(spark, sf_dir), {"a": "click", "b": "view"}, "sqrt(abs(a)) + 2 * b - sin(b)", "mix"), "v")
+    return rounded_all(calc.expression(event_samples(spark, sf_dir), "sqrt(abs(click)) + 2 * view - sin(view)", "mix"), "v")
+
+
+_NAMED = """named as (select log_id, case series when 'click' then 'GPS.Alt' when 'view' then 'GPS.AltMSL' else 'IMU[0].AccX' end as series, seq, t, floor(v) % 4 - 1 as v from samples where series in ('click', 'view', 'error')),
+n as (select *, row_number() over (partition by log_id, series order by t, seq) as r from named),
+x as (select a.log_id, a.seq, a.t, a.v as acc, m.v as msl, g.v as alt from n a join n m on a.log_id = m.log_id and a.r = m.r join n g on a.log_id = g.log_id and a.r = g.r where a.series = 'IMU[0].AccX' and m.series = 'GPS.AltMSL' and g.series = 'GPS.Alt'),
+quotient as (select *, case when alt = 0 and msl = 0 then 'nan' when alt = 0 then case when msl > 0 then 'inf' else '-inf' end end as odd, msl / nullif(alt, 0) as q from x)"""
+
+
+@query(
+    "math12_named_expression",
+    f"""with {SAMPLES}, {_NAMED} select log_id, 'MIX.q' as series, seq, t, odd, case when odd is null then round(q + 2 * (alt - acc) ** 2 + case when acc >= alt and acc <> 1 then 0.5 else 0 end, 6) + 0.0 end as v from quotient""",
+)
+def named_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of which one is the beginning of another, and divisors that are zero."""
+    name = F.when(F.col("series") == "click", "GPS.Alt").when(F.col("series") == "view", "GPS.AltMSL").otherwise("IMU[0].AccX")
+    samples = event_samples(spark, sf_dir).where(F.col("series").isin("click", "view", "error")).select("log_id", name.alias("series"), "seq", "t", (F.floor("v") % 4 - 1).cast("double").alias("v"))
+    text = "GPS.AltMSL / GPS.Alt + 2*(GPS.Alt-IMU[0].AccX)**2 + np.where((IMU[0].AccX >= GPS.Alt) & ~(IMU[0].AccX == 1), 0.5, 0)"
+    out = calc.expression(samples, text, "MIX.q")
+    odd = F.when(F.isnan("v"), "nan").when(F.col("v") == float("inf"), "inf").when(F.col("v") == float("-inf"), "-inf")
+    return rounded_all(out.withColumn("odd", odd).withColumn("v", F.when(odd.isNull(), F.col("v"))), "v").select("log_id", "series", "seq", "t", "odd", "v")
 
 
 _DFT = """sized as (select *, count(*) over (partition by log_id, series) as n, avg(v) over (partition by log_id, series) as m, row_number() over (partition by log_id, series order by t, seq) - 1 as j from {source}),
