@@ -15,13 +15,16 @@ ARM, DISARM = 10, 11
 #: Fields of STAT that say whether a vehicle is armed, in order.
 STATE_FIELDS = ["Armed", "Arm", "ArmState"]
 
-#: Where winds are looked for, in order: message, fields (two are components).
+#: Where winds are looked for, in order: messages with their instance ("[*]": without one or with any), and for each their fields
+#: in order (two are components).
 WIND_SOURCES = [
-    ("WIND", "speed"), ("WIND", "WS"), ("WIND", "VelN", "VelE"),
-    ("NKF2", "VWN", "VWE"), ("XKF2", "VWN", "VWE"), ("XKFS", "VWN", "VWE"), ("EKF2", "VWN", "VWE"), ("EKF3", "VWN", "VWE"),
-    ("WIND_COV", "wind_x", "wind_y"),
-    ("AHR2", "wind_spd"), ("AHR2", "wind_vel"), ("AHR2", "wind_speed"),
-]
+    (["WIND", "WIND[S1]", "WIND[S2]"], [["speed"], ["WS"], ["VelN", "VelE"]]),
+    (["NKF2[*]", "XKF2[*]", "XKFS[*]", "EKF2[*]", "EKF3[*]"], [["VWN", "VWE"]]),
+    (["WIND_COV", "WIND_COV[S1]"], [["wind_x", "wind_y"]]),
+    (["AHR2[S1]", "AHR2"], [["wind_spd"], ["wind_vel"], ["wind_speed"]]),
+]
+#: The fields of an EV message that can hold the event's number, in order.
+EVENT_FIELDS = ["Id", "Event"]
 
 
 def mode_spans(modes: DataFrame, last_end: Column) -> DataFrame:
@@ -66,14 +69,14 @@ def armed_spans(states: DataFrame, keys: tuple[str, ...] = ("log_id",)) -> DataF
     return spans.withColumn("duration", F.col("end_t") - F.col("start_t")).where(F.col("duration") > SHORTEST_S).drop("run")
 
 
-def event_spans(events: DataFrame) -> DataFrame:
-    """events(log_id, t, id) -> (log_id, start_t, end_t, duration): each arming lasts until the first disarming after
+def event_spans(events: DataFrame, keys: tuple[str, ...] = ("log_id",)) -> DataFrame:
+    """events(keys, t, id) -> (keys, start_t, end_t, duration): each arming lasts until the first disarming after
     it, else until the last event; spans may overlap."""
-    micros = events.select("log_id", "t", "id", F.round(F.col("t") * 1e6).cast("long").alias("us"))
+    micros = events.select(*keys, "t", "id", F.round(F.col("t") * 1e6).cast("long").alias("us"))
     # downwards in time, so that the frame grows by one row at a time; a disarming at the same time is not later
-    after = Window.partitionBy("log_id").orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
-    ends = micros.withColumn("end_t", F.coalesce(F.min(F.when(F.col("id") == DISARM, F.col("t"))).over(after), F.max("t").over(Window.partitionBy("log_id"))))
-    spans = ends.where(F.col("id") == ARM).select("log_id", F.col("t").alias("start_t"), "end_t")
+    after = Window.partitionBy(*keys).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
+    ends = micros.withColumn("end_t", F.coalesce(F.min(F.when(F.col("id") == DISARM, F.col("t"))).over(after), F.max("t").over(Window.partitionBy(*keys))))
+    spans = ends.where(F.col("id") == ARM).select(*keys, F.col("t").alias("start_t"), "end_t")
     return spans.withColumn("duration", F.col("end_t") - F.col("start_t")).where(F.col("duration") > SHORTEST_S)
 
 
@@ -106,31 +109,50 @@ def heartbeat_spans(fields: DataFrame) -> DataFrame:
     return _message_spans(beats.select("log_id", "msg_type", source.alias("source"), heartbeat_rank(F.col("msg_type")).alias("rank"), "t", "seq", armed.alias("armed")))
 
 
+def _first_field(fields: DataFrame, message: str, names: list[str]) -> DataFrame:
+    """The rows of the first of some fields that each message whose name begins with `message` has."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("field"))
+    some = fields.where(F.col("msg_type").startswith(message) & (place > 0)).withColumn("place", place)
+    return some.withColumn("first", F.min("place").over(Window.partitionBy("log_id", "msg_type"))).where("place = first")
+
+
 def state_spans(fields: DataFrame) -> DataFrame:
     """The same of each STAT message, from the first of its fields Armed, Arm and ArmState: whole values above 0."""
-    place = F.array_position(F.array(*map(F.lit, STATE_FIELDS)), F.col("field"))
-    states = fields.where(F.col("msg_type").startswith("STAT") & (place > 0)).withColumn("place", place)
-    first = states.withColumn("first", F.min("place").over(Window.partitionBy("log_id", "msg_type"))).where("place = first")
     armed = F.coalesce(F.col("v").try_cast("long") > 0, F.lit(False))
-    return _message_spans(first.select("log_id", "msg_type", F.concat("msg_type", F.lit(".Armed")).alias("source"), F.lit(0).alias("rank"), "t", "seq", armed.alias("armed")))
+    return _message_spans(_first_field(fields, "STAT", STATE_FIELDS).select("log_id", "msg_type", F.concat("msg_type", F.lit(".Armed")).alias("source"), F.lit(0).alias("rank"), "t", "seq", armed.alias("armed")))
+
 
+def event_message_spans(fields: DataFrame) -> DataFrame:
+    """The same of each EV message, from its field Id, else Event: arming and disarming numbers; fractions are cut off."""
+    found = _first_field(fields, "EV", EVENT_FIELDS)
+    events = found.select("log_id", F.concat("msg_type", F.lit(".Id (10/11)")).alias("source"), F.lit(0).alias("rank"), "t", F.col("v").try_cast("long").alias("id"))
+    return event_spans(events, ("log_id", "source", "rank"))
 
-def all_armed_spans(fields: DataFrame, events: DataFrame) -> DataFrame:
-    """Heartbeats before states before arming events; fields as above, events(log_id, t, id)."""
-    return first_source(heartbeat_spans(fields), state_spans(fields), event_spans(events).select("*", F.lit("EV.Id (10/11)").alias("source"), F.lit(0).alias("rank")))
+
+def all_armed_spans(fields: DataFrame) -> DataFrame:
+    """Heartbeats before states before arming events; fields(log_id, msg_type, field, seq, t, v).
+
+    Of several messages of one kind the first in order of rank, then of letters, that has a span is taken (a catalog in a log's own order may have another
+    first).
+    """
+    return first_source(heartbeat_spans(fields), state_spans(fields), event_message_spans(fields))
 
 
 def wind_speeds(fields: DataFrame) -> DataFrame:
     """fields(log_id, msg_type, field, seq, t, v) -> (log_id, t, seq, speed, source): of each log's first wind source.
 
-    Two components give their magnitude.  Messages may carry an instance, as in WIND[S1].
+    Sources come in the order of WIND_SOURCES: by kind, then by message with its instance, then by field; of the instances of an "[*]" message the
+    first in order of letters.  Two components give their magnitude.
     """
-    base = F.split("msg_type", r"\[")[0]
-    some = fields.withColumn("base", base)
-    have = some.groupBy("log_id", "base", "msg_type").agg(F.collect_set("field").alias("have"))
+    have = fields.groupBy("log_id", "msg_type").agg(F.collect_set("field").alias("have"))
     rank, names = F.lit(None).cast("int"), F.lit(None).cast("array<string>")
-    for k, (message, *parts) in reversed(list(enumerate(WIND_SOURCES))):
-        fits = (F.col("base") == message) & F.array_contains("have", parts[0]) & F.array_contains("have", parts[-1])
+    ways = [(message, parts) for messages, every in WIND_SOURCES for message in messages for parts in every]
+    for k, (message, parts) in reversed(list(enumerate(ways))):
+        bare = message.removesuffix("[*]")
+        named = F.col("msg_type") == bare
+        if bare != message:
+            named |= F.col("msg_type").startswith(f"{bare}[")
+        fits = named & F.array_contains("have", parts[0]) & F.array_contains("have", parts[-1])
         rank, names = F.when(fits, k).otherwise(rank), F.when(fits, F.array(*map(F.lit, parts))).otherwise(names)
     best = have.select("log_id", "msg_type", rank.alias("rank"), names.alias("parts")).where("rank is not null")
     best = best.groupBy("log_id").agg(F.min(F.struct("rank", "msg_type", "parts")).alias("b")).select("log_id", "b.msg_type", "b.parts")

@@ -105,14 +105,40 @@ def next_disarming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.event_spans(_events(event_samples(spark, sf_dir))).select("log_id", "start_t", "end_t")
 
 
-_ALL = f"""{SAMPLES}, {_MESSAGES}, {_BEATS}, {armed_sql('hb', 'beats')}, {_STATS}, {armed_sql('st', 'stats')}, {_EVENTS}, {_EVENT_SPANS},
-every as (select log_id, start_t, end_t, duration, source, struct_pack(kind := 0, rank, source) as place from hb union all by name select log_id, start_t, end_t, duration, source, struct_pack(kind := 1, rank, source) as place from st
-    union all by name select log_id, start_t, end_t, duration, 'EV.Id (10/11)' as source, struct_pack(kind := 2, rank := 0, source := 'EV.Id (10/11)') as place from event_spans),
+#: What a log has follows from the greatest k of its samples.
+_FACTS = "facts as (select *, max(k) over (partition by log_id) as most from samples)"
+#: Events in two messages; of one of them some logs have the number in Id, beside an Event of another meaning, the others in Event.
+_EV = """ev as (select log_id, t, case when k % 3 > 0 then 'EV.Id (10/11)' else 'EV[1].Id (10/11)' end as source, 0 as rank, case series when 'click' then 10 when 'error' then 11 else 0 end as id from facts where series <> 'purchase'),
+ev_spans as (select log_id, source, rank, start_t, end_t, end_t - start_t as duration from (
+    select a.log_id, a.source, a.rank, a.t as start_t, coalesce((select min(d.t) from ev d where d.log_id = a.log_id and d.source = a.source and d.id = 11 and d.t > a.t), (select max(d.t) from ev d where d.log_id = a.log_id and d.source = a.source)) as end_t from ev a where a.id = 10) where end_t - start_t > 0.5)"""
+
+
+def _event_fields(samples: DataFrame) -> DataFrame:
+    facts = samples.withColumn("most", F.max("k").over(Window.partitionBy("log_id"))).where("series <> 'purchase'")
+    number = F.when(F.col("series") == "click", spans.ARM).when(F.col("series") == "error", spans.DISARM).otherwise(0) + F.lit(0.25)
+    first = F.col("k") % 3 > 0
+    cell = lambda field, v: F.struct(F.lit(field).alias("field"), v.cast("double").alias("v"))
+    cells = F.when(first & (F.col("most") % 2 == 0), F.array(cell("Event", F.lit(10)), cell("Id", number))).otherwise(F.array(cell("Event", number)))
+    return facts.select("log_id", F.when(first, "EV").otherwise("EV[1]").alias("msg_type"), "seq", "t", F.explode(cells).alias("c")).select("log_id", "msg_type", "c.field", "seq", "t", "c.v")
+
+
+@query("win5_event_messages", f"with {SAMPLES}, {_FACTS}, {_EV} select {_SPAN}, source from (select *, min(source) over (partition by log_id) as best from ev_spans) where best = source")
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_all(spans.first_source(spans.event_message_spans(_event_fields(event_samples(spark, sf_dir)))), "duration")
+
+
+#: A third of the logs has heartbeats, states and events, another no heartbeats, another only events.
+_ALL = f"""{SAMPLES}, {_FACTS}, {_MESSAGES}, {_BEATS}, {armed_sql('hb', 'beats')}, {_STATS}, {armed_sql('st', 'stats')}, {_EV},
+every as (select log_id, start_t, end_t, duration, source, struct_pack(kind := 0, rank, source) as place from hb where log_id in (select log_id from facts where most % 3 = 0)
+    union all by name select log_id, start_t, end_t, duration, source, struct_pack(kind := 1, rank, source) as place from st where log_id in (select log_id from facts where most % 3 < 2)
+    union all by name select log_id, start_t, end_t, duration, source, struct_pack(kind := 2, rank, source) as place from ev_spans),
 spans as (select * from (select *, min(place) over (partition by log_id) as best from every) where place = best)"""
 
 
 def all_spans(samples: DataFrame) -> DataFrame:
-    return spans.all_armed_spans(_messages(samples), _events(samples))
+    most = samples.groupBy("log_id").agg(F.max("k").alias("most"))
+    told = _messages(samples).join(most, "log_id").where("(most % 3 = 0 or not startswith(msg_type, 'HEARTBEAT')) and (most % 3 < 2 or not startswith(msg_type, 'STAT'))").drop("most")
+    return spans.all_armed_spans(told.unionByName(_event_fields(samples)))
 
 
 @query("win6_source_precedence", f"with {_ALL} select {_SPAN}, source from spans")
@@ -120,17 +146,30 @@ def source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_all(all_spans(event_samples(spark, sf_dir)), "duration")
 
 
-_WINDS = """wind_rows as (select log_id, case when log_id % 3 = 0 then 'WIND[S1]' when log_id % 3 = 1 then 'XKF2[0]' else 'AHR2' end as msg_type,
-    case when log_id % 3 = 0 then 'speed' when log_id % 3 = 1 then unnest(['VWN', 'VWE']) else 'wind_vel' end as field, seq, t, v - 5 as v from samples where series = 'view' and k % 7 <> 0),
-winds as (select distinct log_id, seq, t, case when log_id % 3 = 1 then sqrt(v * v + v * v) else v end as speed,
-    msg_type || case log_id % 3 when 0 then '.speed' when 1 then '.VWN/VWE' else '.wind_vel' end as source from wind_rows)"""
+#: By the greatest k of a log: messages and fields with its wind, and others that do not count beside them.
+WINDS = [
+    (["WIND.WS"], ["WIND[S1].speed", "WIND[0].speed"]),
+    (["XKF2[0].VWN", "XKF2[0].VWE"], ["WIND[0].speed", "XKF2[1].VWN", "XKF2[1].VWE", "EKF3.VWN", "EKF3.VWE"]),
+    (["AHR2[S1].wind_speed"], ["AHR2.wind_vel", "AHR2[S2].wind_spd"]),
+    (["WIND_COV[S1].wind_x", "WIND_COV[S1].wind_y"], ["WIND_COV[S2].wind_x", "WIND_COV[S2].wind_y", "AHR2.wind_spd"]),
+    (["EKF3.VWN", "EKF3.VWE"], ["NKF2.VWN", "WIND.Other", "WIND_COV.wind_x"]),
+    (["WIND[S2].VelN", "WIND[S2].VelE"], ["NKF2.VWN", "NKF2.VWE"]),
+]
+_SOURCE = " ".join(f"when {k} then '{'/'.join([good[0], *(g.split('.')[1] for g in good[1:])])}'" for k, (good, _) in enumerate(WINDS))
+_WINDS = f"""wind_rows as (select s.log_id, seq, t, most % {len(WINDS)} as kind, v - 5 as v from samples s join (select log_id, max(k) as most from samples group by log_id) using (log_id) where series = 'view' and k % 7 <> 0),
+winds as (select log_id, seq, t, case when kind in ({", ".join(str(k) for k, (good, _) in enumerate(WINDS) if len(good) == 2)}) then sqrt(v * v + v * v) else v end as speed, case kind {_SOURCE} end as source from wind_rows)"""
 
 
 def wind_fields(samples: DataFrame) -> DataFrame:
-    kind = F.col("log_id") % 3
-    names = F.when(kind == 0, F.array(F.lit("speed"))).when(kind == 1, F.array(F.lit("VWN"), F.lit("VWE"))).otherwise(F.array(F.lit("wind_vel")))
-    message = F.when(kind == 0, "WIND[S1]").when(kind == 1, "XKF2[0]").otherwise("AHR2")
-    return samples.where("series = 'view' and k % 7 <> 0").select("log_id", message.alias("msg_type"), F.explode(names).alias("field"), "seq", "t", (F.col("v") - 5).alias("v"))
+    most = samples.groupBy("log_id").agg((F.max("k") % len(WINDS)).alias("kind"))
+    rows = samples.where("series = 'view' and k % 7 <> 0").join(most, "log_id")
+    cells = F.lit(None).cast("array<struct<name:string,good:boolean>>")
+    for k, (good, others) in enumerate(WINDS):
+        every = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(is_good).alias("good")) for names, is_good in ((good, True), (others, False)) for n in names))
+        cells = F.when(F.col("kind") == k, every).otherwise(cells)
+    named = rows.select("log_id", "seq", "t", "v", F.explode(cells).alias("c"))
+    part = lambda i: F.split("c.name", r"\.")[i]
+    return named.select("log_id", part(0).alias("msg_type"), part(1).alias("field"), "seq", "t", F.when(F.col("c.good"), F.col("v") - 5).otherwise(1000.0).alias("v"))
 
 
 @query("win7_wind_source", f"with {SAMPLES}, {_WINDS} select log_id, seq, t, round(speed, 6) + 0.0 as speed, source from winds")

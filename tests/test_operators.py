@@ -248,11 +248,32 @@ def test_armed_sources_in_order(spark):
 
     data = rows("a", "HEARTBEAT[S255]", "base_mode", [128, 128, 0]) + rows("a", "HEARTBEAT[S1]", "base_mode", [0, 200, 81, 0]) + rows("a", "HEARTBEAT", "base_mode", [128, 128])
     data += rows("b", "HEARTBEAT[S1]", "base_mode", [0, 1]) + rows("b", "STAT", "ArmState", [1, 1]) + rows("b", "STAT", "Arm", [0, -1, 0.9, 2, 2, 0])
-    data += rows("c", "STAT", "Other", [1, 1])
+    data += rows("c", "STAT", "Other", [1, 1]) + rows("c", "EV", "Event", [10, 10, 10]) + [("c", "EV", "Id", 0, 1.0, 10.0), ("c", "EV", "Id", 1, 4.0, 11.5)]
+    data += [("d", "EV[1]", "Event", 0, 2.0, 10.0), ("d", "EV[1]", "Event", 1, 9.0, 3.0), ("d", "EV", "Id", 0, 5.0, 11.0), ("d", "EV", "Id", 1, 5.2, 10.0), ("d", "EV", "Id", 2, 5.4, 0.0)]
     fields = spark.createDataFrame(data, "log_id string, msg_type string, field string, seq long, t double, v double")
-    events = spark.createDataFrame([("c", 1.0, spans.ARM), ("c", 4.0, spans.DISARM)], "log_id string, t double, id int")
-    got = sorted(tuple(r) for r in spans.all_armed_spans(fields, events).select("log_id", "source", "start_t", "end_t").collect())
-    assert got == [("a", "HEARTBEAT[S1].base_mode", 1.0, 2.0), ("b", "STAT.Armed", 3.0, 5.0), ("c", "EV.Id (10/11)", 1.0, 4.0)]
+    got = sorted(tuple(r) for r in spans.all_armed_spans(fields).select("log_id", "source", "start_t", "end_t").collect())
+    # of log d the first message has no span of over half a second
+    assert got == [("a", "HEARTBEAT[S1].base_mode", 1.0, 2.0), ("b", "STAT.Armed", 3.0, 5.0), ("c", "EV.Id (10/11)", 1.0, 4.0), ("d", "EV[1].Id (10/11)", 2.0, 9.0)]
+
+
+@pytest.mark.parametrize(
+    ("fields", "source"),
+    [
+        (["WIND.WS", "WIND[S1].speed"], "WIND.WS"),
+        (["WIND[S1].VelN", "WIND[S1].VelE", "WIND[S2].speed"], "WIND[S1].VelN/VelE"),
+        (["WIND[0].speed", "AHR2.wind_vel"], "AHR2.wind_vel"),
+        (["WIND[0].speed"], None),
+        (["XKF2[1].VWN", "XKF2[1].VWE", "XKF2[0].VWN", "XKF2[0].VWE", "NKF2.VWN"], "XKF2[0].VWN/VWE"),
+        (["AHR2.wind_spd", "AHR2[S1].wind_speed"], "AHR2[S1].wind_speed"),
+        (["WIND_COV[S1].wind_x", "WIND_COV[S1].wind_y", "AHR2.wind_spd"], "WIND_COV[S1].wind_x/wind_y"),
+        (["WIND_COV[S2].wind_x", "WIND_COV[S2].wind_y"], None),
+        (["XKF2B.VWN", "XKF2B.VWE"], None),
+    ],
+)
+def test_wind_sources_by_message_with_its_instance(spark, fields, source):
+    rows = [(1, *name.split("."), 0, 0.0, 3.0) for name in fields]
+    got = spans.wind_speeds(spark.createDataFrame(rows, "log_id long, msg_type string, field string, seq long, t double, v double")).collect()
+    assert [(r.source, round(r.speed, 9)) for r in got] == ([(source, round(math.sqrt(18), 9) if "/" in source else 3.0)] if source else [])
 
 
 def test_first_spans_and_ends_of_modes(spark):
