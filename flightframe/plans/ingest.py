@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightframe.plans.base import SAMPLES, query, rounded_all
-from flightframe.sources import csv_logs
-from flightframe.sources.events import event_samples
+from flightframe.plans.base import FIELDS, SAMPLES, query, rounded_all
+from flightframe.sources import csv_logs, sample_store
+from flightframe.sources.events import event_fields, event_samples
+from flightframe.sources.store import shared_folder
 
 #: By log_id % 6: header line, and how a row is written.
 HEADERS = ["time;ax;ay", "TimeUS,IMU.Roll,IMU.Pitch", "var_a,var_b", "time(millisecond)\tgyro_x\tgyro_y", "Parameter,Value", "timestamp,val"]
@@ -38,8 +41,7 @@ def made_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = made_lines(spark, sf_dir)
-    return csv_logs.data_rows(lines, csv_logs.layouts(lines))
+    return csv_logs.parsed(csv_logs.prepared(made_lines(spark, sf_dir)))
 
 
 _LOGS = f"files as (select distinct log_id as n, {_FILE} as file from samples), x as (select * exclude (t), {_FILE} as file, log_id % 6 as kind, seq + 10 as line_no, case when k % 7 = 0 then 0 else k end as kk from samples)"
@@ -129,3 +131,19 @@ def vendor_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = event_samples(spark, sf_dir).select(F.concat(F.lit("log"), (F.col("seq") % 400).cast("string"), F.lit(".csv")).alias("path"), F.col("seq").alias("pos"), (F.col("k") % 5 != 0).alias("there"))
     return csv_logs.load_list(files)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    sample_store.write_store(event_fields(spark, sf_dir), path)
+    return path
+
+
+@query("src12_sample_store", f"with {SAMPLES}, {FIELDS} select log_id, msg_type, field, seq, t, v from rows where msg_type in ('view', 'error') and t between 1704500000 and 1706000000")
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_store.read_store(spark, _store(spark, sf_dir), ["view", "error"], low=1704500000.0, high=1706000000.0).select("log_id", "msg_type", "field", "seq", "t", "v")
+
+
+@query("cat1_stored_catalog", f"with {SAMPLES}, {FIELDS} select msg_type, log_id, field, count(*) as n, min(t) as t_first, max(t) as t_last from rows group by all")
+def stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_store.catalog(spark, _store(spark, sf_dir))

@@ -1,15 +1,19 @@
 """Directories of CSV logs as samples, parameters and messages.
 
-Works on lines(log_id, line_no, line): line_no only has to rise within a log.  A log's layout (delimiter, names, time
-column, group) is one row, found by aggregation; the rows of all logs are then split in one job.  Values in double
+Works on lines(log_id, line_no, line): line_no only has to rise within a log.  A job reads its files once: `prepared` stores their lines
+in pieces that follow one another, and `parsed` the cells of their rows.  A log's layout (delimiter, names, time
+column, group) is one row, found by aggregation; rows without a time column are numbered by counts of the pieces before them.  Values in double
 quotes lose the quotes; a delimiter inside quotes still separates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightframe.operators import scans
+from flightframe.sources.store import stored
+
 #: Names of time columns in order of preference, beginnings of others, and delimiters in order.
 # fmt: off
 TIME_NAMES = [
@@ -22,6 +26,19 @@ DELIMITERS = [",", ";", "\t"]
 MICROSECONDS, MILLISECONDS = ["microsecond", "time_us", "timeus", "usec"], ["millisecond", "time_ms", "timems", "offsettime"]
 EPOCHS = ["gpstime", "tow", "unix", "epoch"]
 VENDOR_TIMES = ["offsetTime", "time(millisecond)", "Tick", "Time"]
+#: Groups in order, each with a part of the file's name that tells it, or parts of names of columns: one of each set ("=": a whole name).
+GROUPS = [
+    ("IMU", "imu", [["=wx", "=wy", "=wz"], ["=ax", "=ay", "=az"]]),
+    ("INS", "ins", []),
+    ("GPS", "gps", [["lat"], ["lon", "lng"]]),
+    ("ATT", "att", [["roll"], ["pitch"]]),
+    ("BARO", "baro", [["press"]]),
+    ("MAG", "mag", []),
+]
+VENDOR_COLUMNS = ["offsetTime", "time(millisecond)", "Tick"]
+#: Patterns of dates that end the name of a file, and the longest name that is a group.
+DATES = [r"[_\-]?\d{8}[_\-]\d{4,6}.*$", r"[_\-]\d{4}[_\-]\d{2}[_\-]\d{2}.*$"]
+LONGEST_GROUP = 20
 # fmt: on
 SYNTHETIC_STEP = 0.1
 
@@ -81,26 +98,24 @@ def _has(text: Column, words: list[str]) -> Column:
 
 
 def group_name(file: Column, names: Column) -> Column:
-    """IMU, INS, GPS, ATT, BARO, MAG, DJI by file name or columns, else the cleaned file stem, else CSV."""
-    f, low = F.lower(file), F.transform(names, F.lower)
-    any_of = lambda test: F.exists(low, test)
-    imu = any_of(lambda c: c.isin("wx", "wy", "wz")) & any_of(lambda c: c.isin("ax", "ay", "az"))
-    gps = any_of(lambda c: c.contains("lat")) & any_of(lambda c: c.contains("lon") | c.contains("lng"))
-    att = any_of(lambda c: c.contains("roll")) & any_of(lambda c: c.contains("pitch"))
+    """The first of GROUPS whose file part or columns fit, else the vendor's by its columns, else the file's stem without dates, else CSV."""
+
+    def fits(part: str, sets: list[list[str]]) -> Column:
+        found = F.lower(file).contains(part)
+        columns = F.lit(bool(sets))
+        for words in sets:
+            columns &= F.exists(names, lambda c: F.lower(c).isin([w[1:] for w in words if w[0] == "="]) | _has(F.lower(c), [w for w in words if w[0] != "="]))  # noqa: B023
+        return found | columns
+
     stem = F.regexp_replace(file, r"\.[^.]*$", "")
-    stem = F.regexp_replace(F.regexp_replace(stem, r"[_\-]?\d{8}[_\-]\d{4,6}.*$", ""), r"[_\-]\d{4}[_\-]\d{2}[_\-]\d{2}.*$", "")
-    stem = F.regexp_replace(F.regexp_replace(stem, "[^a-zA-Z0-9_]", "_"), "^_+|_+$", "")
-    return (
-        F.when(f.contains("imu") | imu, "IMU")
-        .when(f.contains("ins"), "INS")
-        .when(f.contains("gps") | gps, "GPS")
-        .when(f.contains("att") | att, "ATT")
-        .when(f.contains("baro") | any_of(lambda c: c.contains("press")), "BARO")
-        .when(f.contains("mag"), "MAG")
-        .when(F.exists(names, lambda c: c.isin("offsetTime", "time(millisecond)", "Tick")), "DJI")
-        .when((stem != "") & ~stem.rlike("^[0-9]+$") & (F.length(stem) <= 20), F.upper(stem))
-        .otherwise("CSV")
-    )
+    for pattern in DATES:
+        stem = F.regexp_replace(stem, pattern, "")
+    stem = F.upper(F.trim(F.regexp_replace(stem, "[^a-zA-Z0-9_]", "_"), F.lit("_")))
+    group = F.when((F.length(stem) > 0) & (F.length(stem) <= LONGEST_GROUP) & ~stem.rlike("^[0-9]+$"), stem).otherwise("CSV")
+    group = F.when(F.exists(names, lambda c: c.isin(VENDOR_COLUMNS)), "DJI").otherwise(group)
+    for name, part, sets in reversed(GROUPS):
+        group = F.when(fits(part, sets), name).otherwise(group)
+    return group
 
 
 def time_position(names: Column) -> Column:
@@ -123,6 +138,16 @@ def layouts(lines: DataFrame) -> DataFrame:
     return named.select("log_id", "first", "sep", "names", is_params.alias("is_params"), time_position(F.col("names")).alias("time_pos"), group_name(file, F.col("names")).alias("msg_group"))
 
 
+def prepared(lines: DataFrame) -> DataFrame:
+    """lines, read once and stored in pieces that follow one another in each log."""
+    return scans.pieces(lines, ["line_no"], ["log_id"])
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """data_rows of prepared lines, stored: each line is split once."""
+    return stored(data_rows(lines, layouts(lines)), "rows")
+
+
 def data_rows(lines: DataFrame, layout: DataFrame) -> DataFrame:
     """(log_id, line_no, cells array, layout columns): the lines after the header that hold data."""
     rows = lines.join(layout, "log_id").where("line_no > first").withColumn("line", F.regexp_replace("line", "#.*$", "")).where("trim(line) <> '' and not startswith(trim(line), '//')")
@@ -139,7 +164,9 @@ def param_rows(rows: DataFrame) -> DataFrame:
 
 def _clock(rows: DataFrame) -> DataFrame:
     """rows with t by their order: only logs without a time column need one."""
-    return rows.withColumn("t", (F.row_number().over(Window.partitionBy("log_id").orderBy("line_no")) - 1) * SYNTHETIC_STEP)
+    cut = rows if scans.PIECE in rows.columns else prepared(rows)
+    numbered = scans.numbered(cut, ["line_no"], ["log_id"])
+    return numbered.withColumn("t", F.col("row") * SYNTHETIC_STEP).select(*rows.columns, "t")
 
 
 def with_time(rows: DataFrame) -> DataFrame:
@@ -186,10 +213,11 @@ def csv_samples(rows: DataFrame) -> DataFrame:
 
 def vendor_samples(lines: DataFrame) -> DataFrame:
     """As csv_samples for comma-separated vendor logs: group DJI, its own time columns, milliseconds only if named so."""
+    lines = prepared(lines)
     layout = layouts(lines)
     listed = F.transform(F.array(*map(F.lit, VENDOR_TIMES)), lambda n: F.array_position("names", n))
     pos = F.coalesce(F.get(F.filter(listed, lambda p: p > 0), F.lit(0)), F.lit(0)).cast("int")
-    rows = data_rows(lines, layout.withColumn("time_pos", pos).withColumn("sep", F.lit(",")))
+    rows = stored(data_rows(lines, layout.withColumn("time_pos", pos).withColumn("sep", F.lit(","))), "rows")
     raw = rows.where("time_pos > 0").withColumn("raw", F.get("cells", F.col("time_pos") - 1).try_cast("double"))
     most = raw.groupBy("log_id").agg(F.max("raw").alias("most"))
     milli = (F.col("most") > 10000) & F.lower(F.col("names")[F.col("time_pos") - 1]).contains("millisecond")
@@ -201,7 +229,7 @@ def vendor_samples(lines: DataFrame) -> DataFrame:
 
 def csv_job(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """samples, params and messages of a directory of CSV logs; empty files give no rows."""
-    lines = read_lines(spark, path)
-    rows = data_rows(lines, layouts(lines))
+    lines = prepared(read_lines(spark, path))
+    rows = parsed(lines)
     head, texts = header_comments(lines)
     return {"samples": csv_samples(rows), "params": head.unionByName(param_rows(rows).select("log_id", "name", "value")), "messages": texts}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flightframe.functions import texts
 from flightframe.operators import align, calc, catalog, geo, logs, params, segments, spans, spectrum, stats
-from flightframe.sources import csv_logs, sinks
+from flightframe.sources import csv_logs, sample_store, sinks
 
 SCHEMA = "log_id string, series string, seq long, t double, v double"
 
@@ -288,3 +288,45 @@ def test_segment_filter_falls_back_to_everything(spark):
     df = series(spark, ("a", "x", range(10), range(10)))
     rows = segments.filter_segment(df, segments.gap_segments(df), "7")
     assert rows.count() == 10 and not rows.first()["filtered"]
+
+
+def test_csv_job_numbers_a_file_over_pieces_and_reads_it_once(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n" + "".join(f"{k},{k % 7}\n" for k in range(5000)))
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(before, ("11", "8k", "1k"), strict=True):
+            spark.conf.set(c, v)
+        samples = csv_logs.csv_job(spark, str(tmp_path))["samples"].where("field = 'a'")
+        plan = samples._jdf.queryExecution().executedPlan().toString()
+        got = samples.select("msg_type", "t", "v").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r.t, r.v) for r in got if r.msg_type == "LONG") == [(pytest.approx(k * 0.1), float(k)) for k in range(5000)]
+    assert [(r.t, r.v) for r in got if r.msg_type == "SHORT"] == [(0.0, 1.0)]
+    assert "long.csv" not in plan and "Scan text" not in plan  # lines and rows come from the stored tables
+
+
+def test_group_names(spark):
+    cases = [("x_IMU.csv", ["a"], "IMU"), ("q.csv", ["WX", "b", "ay"], "IMU"), ("q.csv", ["wx2", "ay"], "Q"), ("begins.csv", ["a"], "INS"), ("a.csv", ["Latitude", "lng"], "GPS"), ("a.csv", ["Roll", "pitch_deg"], "ATT")]
+    cases += [("b.csv", ["Pressure"], "BARO"), ("image.csv", ["a"], "MAG"), ("magnet.csv", ["a"], "MAG"), ("z.csv", ["Tick"], "DJI"), ("my-log_20260917_143651.csv", ["a"], "MY_LOG"), ("run-2026-09-17.csv", ["a"], "RUN"), ("123.csv", ["a"], "CSV"), (f"{'n' * 21}.csv", ["a"], "CSV"), ("-.csv", ["a"], "CSV")]
+    df = spark.createDataFrame([(k, f, n) for k, (f, n, _) in enumerate(cases)], "k long, f string, n array<string>")
+    assert [r.g for r in df.select("k", csv_logs.group_name(F.col("f"), F.col("n")).alias("g")).orderBy("k").collect()] == [g for *_, g in cases]
+
+
+def test_store_reads_only_what_is_asked_for(spark, tmp_path):
+    rows = [(log, m, f, k, k / 10, float(k)) for log in ("1", "2", "3") for m in ("GPS[0]", "007", "ATT", None) for f in ("a", "b") for k in range(200)]
+    df = spark.createDataFrame(rows, "log_id string, msg_type string, field string, seq long, t double, v double")
+    path = str(tmp_path / "store")
+    sample_store.write_store(df, path, 9)
+    back = sample_store.read_store(spark, path)
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    some = sample_store.read_store(spark, path, ["007"], ["2"], 5.0, 6.0)
+    assert sorted((r.log_id, r.msg_type, r.t) for r in some.where("field = 'a'").collect()) == [("2", "007", k / 10) for k in range(50, 61)]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "msg_type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(t,5.0)" in plan and "LessThanOrEqual(t" in plan
+    assert {(r.msg_type, r.log_id, r.field, r.n, r.t_last) for r in sample_store.catalog(spark, path).collect()} == {(m, log, f, 200, 19.9) for m in ("GPS[0]", "007", "ATT", None) for log in "123" for f in "ab"}
+    sample_store.write_store(df.limit(0), str(tmp_path / "none"))
+    assert sample_store.catalog(spark, str(tmp_path / "none")).count() == 0
