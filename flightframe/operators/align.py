@@ -108,15 +108,23 @@ def side_by_side(samples: DataFrame, series: Sequence[str]) -> DataFrame:
     return numbered.groupBy("log_id", "row").pivot("series", list(series)).agg(F.first("v")).join(numbered.groupBy("log_id", "row").agg(F.min("t").alias("timestamp")), ["log_id", "row"])
 
 
-def inside_spans(samples: DataFrame, spans: DataFrame) -> DataFrame:
+def inside_spans(samples: DataFrame, spans: DataFrame, long: bool = False) -> DataFrame:
     """samples inside any closed span(log_id, start_t, end_t) of their log; logs with none of that keep all samples.
 
     A sample is inside if the greatest end of the spans that have started reaches it, so overlapping spans cost nothing.
-    Adds filtered boolean: whether the log was cut.
+    Adds filtered boolean: whether the log was cut.  long: a log may be longer than a task.
     """
     starts = spans.select("log_id", F.col("start_t").alias("t"), F.col("end_t").alias("__end"))
     started = Window.partitionBy("log_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = samples.withColumn("__sample", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    if long:
+        keys = ["log_id"]
+        cut = scans.handed_in(scans.pieces(both, ["t"], keys), {"__ahead": (F.max("__end"), F.max)}, keys)
+        here = F.max("__end").over(scans.inside(["t"], keys).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = cut.withColumn("__inside", F.coalesce(F.greatest(here, "__ahead") >= F.col("t"), F.lit(False))).where("__sample")
+        found = rows.groupBy(F.col("log_id").alias("__log")).agg(F.max("__inside").alias("filtered"))
+        marked = rows.join(found, F.col("log_id").eqNullSafe(F.col("__log")))
+        return marked.where("__inside or not filtered").drop("__end", "__sample", "__inside", "__ahead", "__log", scans.PIECE)
     reached = F.coalesce(F.max("__end").over(started) >= F.col("t"), F.lit(False))
     marked = both.withColumn("__inside", reached).where("__sample").withColumn("filtered", F.max("__inside").over(Window.partitionBy("log_id")))
     return marked.where("__inside or not filtered").drop("__end", "__sample", "__inside")
@@ -129,9 +137,9 @@ def clipped_spans(spans: DataFrame, bounds: DataFrame) -> DataFrame:
     return inside.select("log_id", "name", F.greatest("start_t", "low").alias("start_t"), F.least("end_t", "high").alias("end_t"))
 
 
-def nearest_message(messages: DataFrame, queries: DataFrame) -> DataFrame:
+def nearest_message(messages: DataFrame, queries: DataFrame, long: bool = False) -> DataFrame:
     """messages(log_id, t, seq, text), queries(log_id, query, at) -> queries with the nearest message (times to 3
-    decimals; the first on ties).  Only the neighbours on both sides are compared, found by running windows."""
+    decimals; the first on ties).  Only the neighbours on both sides are compared, found by running windows; long: over pieces of a log."""
     rows = messages.select("log_id", F.round("t", 3).alias("t"), F.struct(F.round("t", 3).alias("t"), "seq", "text").alias("m"), F.lit(None).cast("long").alias("query"))
     asked = queries.select("log_id", F.col("at").alias("t"), F.lit(None).cast(rows.schema["m"].dataType).alias("m"), "query")
     up = Window.partitionBy("log_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -139,7 +147,15 @@ def nearest_message(messages: DataFrame, queries: DataFrame) -> DataFrame:
     both = rows.unionByName(asked)
     # of messages at one time the first in file order: the running maximum (minimum) of (t, -seq) ((t, seq))
     key = lambda sign: F.struct("m.t", (sign * F.col("m.seq")).alias("s"), "m.text")
-    near = both.withColumn("a", F.max(F.when(F.col("m").isNotNull(), key(-1))).over(up)).withColumn("b", F.min(F.when(F.col("m").isNotNull(), key(1))).over(down)).where("m is null")
+    last, first = (F.when(F.col("m").isNotNull(), key(sign)) for sign in (-1, 1))
+    if long:
+        keys = ["log_id"]
+        cut = scans.handed_in(scans.pieces(both, ["t"], keys), {"__up": (F.max(last), F.max)}, keys)
+        cut = scans.handed_in(cut, {"__down": (F.min(first), F.min)}, keys, down=True)
+        near_up, near_down = (scans.inside([t], keys).rangeBetween(Window.unboundedPreceding, Window.currentRow) for t in (F.col("t"), F.desc("t")))
+        near = cut.withColumn("a", F.greatest(F.max(last).over(near_up), "__up")).withColumn("b", F.least(F.min(first).over(near_down), "__down")).where("m is null")
+    else:
+        near = both.withColumn("a", F.max(last).over(up)).withColumn("b", F.min(first).over(down)).where("m is null")
     da, db = F.abs(F.col("t") - F.col("a.t")), F.abs(F.col("b.t") - F.col("t"))
     before = F.col("b").isNull() | (F.col("a").isNotNull() & ((da < db) | ((da == db) & (-F.col("a.s") <= F.col("b.s")))))
     return near.select("log_id", "query", F.col("t").alias("at"), F.when(before, F.col("a.t")).otherwise(F.col("b.t")).alias("t"), F.when(before, -F.col("a.s")).otherwise(F.col("b.s")).alias("seq"), F.when(before, F.col("a.text")).otherwise(F.col("b.text")).alias("text"))

@@ -128,9 +128,9 @@ def click_spans(samples: DataFrame) -> DataFrame:
     f"""with {SAMPLES}, {_CLICKS}, m as (select *, exists (select 1 from spans p where p.log_id = s.log_id and s.t between p.start_t and p.end_t) as inside from samples s where series = 'view'),
     f as (select *, max(inside) over (partition by log_id) as filtered from m) select log_id, series, seq, t, v, filtered from f where inside or not filtered""",
 )
-def inside_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inside_spans(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
     samples = event_samples(spark, sf_dir)
-    return align.inside_spans(samples.where("series = 'view'"), click_spans(samples)).select("log_id", "series", "seq", "t", "v", "filtered")
+    return align.inside_spans(samples.where("series = 'view'"), click_spans(samples), long).select("log_id", "series", "seq", "t", "v", "filtered")
 
 
 @query(
@@ -151,11 +151,11 @@ def clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     r as (select q.*, m.t, m.seq, m.text, row_number() over (partition by query order by abs(m.t - q."at"), m.seq) as n from q left join m on q.log_id = m.log_id)
     select log_id, query, "at", t, seq, text from r where n = 1""",
 )
-def nearest_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_message(spark: SparkSession, sf_dir: str, long: bool = False) -> DataFrame:
     samples = event_samples(spark, sf_dir)
     views = samples.where("series = 'view'").select("log_id", (F.floor("t") + F.lit(0.25)).alias("t"), "seq", F.concat(F.lit("text "), F.col("k").cast("string")).alias("text"))
     asked = samples.where("series = 'click'").select("log_id", F.col("seq").alias("query"), (F.floor("t") + F.lit(0.5)).alias("at"))
-    return align.nearest_message(views, asked)
+    return align.nearest_message(views, asked, long)
 
 
 @query(

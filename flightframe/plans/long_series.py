@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightframe.operators import align, calc, scans, segments
+from flightframe.operators.long_spectrum import long_spectrum
+from flightframe.plans import joins
 from flightframe.plans.base import ORACLES, query, rounded, rounded_all
 from flightframe.plans.calculated import _angles, _fast
 from flightframe.plans.joins import SERIES, coarse
@@ -33,6 +35,16 @@ def low_rate_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_all(align.low_rate_pair(event_samples(spark, sf_dir), "click", "view", long=True), "va", "vb")
 
 
+@query("join6_long_series", ORACLES["join6_inside_spans"])
+def inside_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.inside_spans(spark, sf_dir, long=True)
+
+
+@query("join9_long_series", ORACLES["join9_nearest_message"])
+def nearest_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.nearest_message(spark, sf_dir, long=True)
+
+
 @query("win8_long_series", ORACLES["win8_unwrap"])
 def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_all(scans.unwrapped(_angles(spark, sf_dir)), "v").select("log_id", "series", "seq", "v")
@@ -46,3 +58,8 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("win11_long_series", ORACLES["win11_vibration"])
 def vibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_all(calc.long_vibration(_fast(spark, sf_dir)), "v").select("log_id", "series", "seq", "v")
+
+
+@query("sig1_long_series", ORACLES["sig1_spectrum"])
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded_all(long_spectrum(event_samples(spark, sf_dir).withColumn("fs", F.lit(10.0))), "freq", "mag")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightframe.functions import angles
-from flightframe.operators import align, calc, scans, segments, series
+from flightframe.operators import align, calc, long_spectrum, scans, segments, series, spectrum
 
 
 @pytest.fixture
@@ -79,6 +79,15 @@ def test_fill_over_many_pieces(small_pieces):
     same(align.outer_join(df, names, "ffill", long=True), align.outer_join(df, names, "ffill"))
 
 
+def test_spans_and_messages_of_other_pieces(small_pieces):
+    df = samples(small_pieces)
+    spans = small_pieces.createDataFrame([(1, 3.0, 900.0), (1, 5.0, 6.0), (1, 2000.0, 2001.0), (2, -9.0, -5.0), (7, 0.0, 1.0)], "log_id long, start_t double, end_t double")
+    same(align.inside_spans(df, spans, long=True), align.inside_spans(df, spans))
+    messages = df.where("seq % 60 = 0").select("log_id", "t", "seq", F.concat(F.lit("m"), "seq").alias("text"))
+    asked = df.where("seq % 7 = 0").select("log_id", F.col("seq").alias("query"), F.round("t", 1).alias("at"))
+    same(align.nearest_message(messages, asked, long=True), align.nearest_message(messages, asked))
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_vibration_by_composed_maps(small_pieces, odd):
     df = samples(small_pieces, odd=odd).withColumn("t", F.col("t") / 20)
@@ -88,6 +97,26 @@ def test_vibration_by_composed_maps(small_pieces, odd):
     assert all(got[k] == pytest.approx(v, rel=1e-12, abs=1e-12, nan_ok=True) for k, v in expected.items())
 
 
+@pytest.mark.parametrize("unbalanced", [16, 0])
+def test_long_spectra(small_pieces, monkeypatch, unbalanced):
+    monkeypatch.setattr(long_spectrum, "UNBALANCED", unbalanced)  # 0: all by chirps
+    rng = np.random.default_rng(12)
+    rows = [(n, "x", k, k / 50, float(v), 50.0 if n != 11 else 0.0) for n in (1, 2, 3, 8, 11, 97, 360, 1021, 1024) for k, v in enumerate(rng.normal(size=n).cumsum())]
+    df = small_pieces.createDataFrame(rows, "log_id long, series string, seq long, t double, v double, fs double").repartition(4)
+    got, expected = ({(r.log_id, r.bin): (r.freq, r.mag) for r in f(df).collect()} for f in (long_spectrum.long_spectrum, spectrum.spectrum))
+    assert got.keys() == expected.keys()
+    for k, v in expected.items():
+        assert got[k] == pytest.approx(v, rel=1e-9, abs=1e-9)
+
+
+def test_spectrum_of_one_series_spreads_over_tasks(small_pieces):
+    n = 1 << 16
+    df = small_pieces.range(n).selectExpr("1L as log_id", "'x' as series", "id as seq", "id / 100.0d as t", "sin(id * 0.37) + (id % 13) as v", "100d as fs")
+    got = long_spectrum.long_spectrum(df).toPandas().sort_values("bin")
+    v = np.sin(np.arange(n) * 0.37) + np.arange(n) % 13
+    np.testing.assert_allclose(got["mag"].to_numpy(), np.abs(np.fft.rfft((v - v.mean()) * np.hanning(n))) * 2 / n, rtol=1e-9, atol=1e-12)
+
+
 def test_scans_of_nothing(small_pieces):
     none = samples(small_pieces).limit(0)
     assert segments.data_rate(none, long=True).count() == 0 and segments.gap_segments(none, long=True).count() == 0
