@@ -32,14 +32,14 @@ def work_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, *done: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
     A lost executor then costs at most the stage that runs, never the jobs that led to it.  done: tables written before
-    that nothing else reads from now on; their files go once df is whole.
+    that nothing else reads from now on; their files go once df is whole.  codec: Parquet's compression, by default the session's.
     """
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     for old in done:
         forget(spark, old)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightframe.llm.shared import schema_with, table, text_slices
+from flightframe.llm.shared import schema_with, table, text_slices, written
 
 RATE, PCM_RATE = 8000, 16000
 UNIT = 64
 SLICE = 1 << 20
+#: Shares of the documents whose media and PCM are stored one after the other.
+ROUNDS = 3
 
 #: Format tags of WAV files.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 0x0001, 0x0006, 0x0007, 0x0011
@@ -256,8 +258,7 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def text_digests(docs: DataFrame, tag: int = MU_LAW, rate: int = PCM_RATE) -> DataFrame:
     """docs(doc_id, text) -> sizes and digests of the payload read back, its media and its stored PCM, and the feature.
 
-    The same steps as text_media, stored_pcm and media_features, one slice of rows after the other, so that the PCM of
-    four times the text's size is not sent from step to step.
+    The same steps as text_media, stored_pcm and media_digests, one slice of rows after the other, with nothing stored in between.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,5 +276,37 @@ def text_digests(docs: DataFrame, tag: int = MU_LAW, rate: int = PCM_RATE) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DIGESTS)
 
 
+def media_digests(df: DataFrame) -> DataFrame:
+    """df(doc_id, n_bytes, media, pcm_media) -> DIGESTS, from the stored bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda values: [hashlib.sha256(v).hexdigest() for v in values]
+        size = lambda values: pa.array([len(v) for v in values], pa.int64())
+        for rows, media in _slices(batches, "media"):
+            pcm = rows.column("pcm_media").to_pylist()
+            payloads, features = features_of(media, pcm)
+            tails = pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64())
+            columns = [rows.column("doc_id"), rows.column("n_bytes"), size(payloads), pa.array(sha(payloads)), tails, size(media), pa.array(sha(media)), size(pcm), pa.array(sha(pcm)), pa.array(features)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in DIGESTS.split(", ")])
+
+    return df.select("doc_id", "n_bytes", "media", "pcm_media").mapInArrow(run, DIGESTS)
+
+
+def stored_digests(spark: SparkSession, docs: DataFrame, tag: int = MU_LAW, rate: int = PCM_RATE, rounds: int = ROUNDS) -> DataFrame:
+    """docs(doc_id, text) -> DIGESTS, by way of stored columns: media are written, PCM is made from the media read back and
+    written beside them, and sizes, digests and features come from both as read back.
+
+    PCM is four times the text, so documents are dealt to rounds by a hash; the columns of a round go when its digests are whole.
+    """
+    out = None
+    for k in range(rounds):
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
+        media = written(spark, text_media(some, tag), "media", codec="zstd")
+        pcm = written(spark, stored_pcm(media, rate), "pcm", media, codec="zstd")
+        digests = written(spark, media_digests(pcm), "digests", pcm)
+        out = digests if out is None else out.unionByName(digests)
+    return out
+
+
 def op10_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_digests(table(spark, sf_dir, "documents"), MU_LAW)
+    return stored_digests(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), MU_LAW)
