@@ -184,8 +184,8 @@ def near_in_tiles(a: np.ndarray, b: np.ndarray, block: int = 256) -> tuple[np.nd
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows: int = 8192) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): components of texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-    All pairs of 128-bit fingerprints are compared by tiles, with a radius that at 0.8 (about 19 bits apart on average) by estimate
-    loses fewer than one pair in a thousand; each pair found is verified by the exact similarity of its shingle sets.
+    All pairs of 128-bit fingerprints are compared by tiles, with a radius that at 0.8 (about 19 bits apart on average)
+    loses few pairs (a test finds at least 0.97 of those of 5 shingles and 0.99 of those of 30 to 300); each pair found is verified by the exact similarity of its shingle sets.
     Rows with a null doc_id are left out.
     """
 
@@ -224,11 +224,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows:
     parts = max(1, -(-nodes.count() // tile_rows))
     lists = nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "b0", "b1")).alias("l"))
     tiles = written(spark, lists.select("part", F.col("l.node").alias("n"), F.col("l.b0").alias("p"), F.col("l.b1").alias("q")).mapInArrow(pack, "part int, tile binary"), "tiles")
-    probes = tiles.select(F.col("tile").alias("x"), F.col("part").alias("own"), F.explode(F.sequence("part", F.lit(parts - 1))).alias("part"))
+    # pairs of tiles by name first, each tile with the half of the others that follow it in a ring: as many pairs for every tile
+    far = tiles.select(F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts // 2))).alias("step"))
+    names = far.select("own", ((F.col("own") + F.col("step")) % parts).alias("part"), "step").where((2 * F.col("step") != parts) | (F.col("own") < F.col("part")))
     # the work is in the comparison: few bytes, but a task of its own for each few tile pairs
     count = parts * (parts + 1) // 2
     tasks = min(count, max(64 * spark.sparkContext.defaultParallelism, count // WIDE_PAIRS_PER_TASK))
-    sides = probes.join(tiles.withColumnRenamed("tile", "y"), "part").select("x", "y", "own", "part", (F.col("own") == F.col("part")).alias("same")).repartition(tasks, "own", "part")
+    first = names.join(tiles.select(F.col("part").alias("own"), F.col("tile").alias("x")), "own")
+    sides = first.join(tiles.withColumnRenamed("tile", "y"), "part").select("x", "y", "own", "part", (F.col("own") == F.col("part")).alias("same")).repartition(tasks, "own", "part")
     pairs = written(spark, sides.select("x", "y", "same").mapInArrow(compare, "a long, b long"), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(spark, rows.join(ends, "node", "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets")
