@@ -254,12 +254,26 @@ def test_line_dedup_links_groups_of_one_band(spark, monkeypatch):
     lines += [line + "!" for line in lines]
     ids = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "id long, line string")
     monkeypatch.setattr(line_dedup, "band_keys", lambda df: df.select("id", F.lit(1).cast("long").alias("key")))
-    for part in (256, 16):
-        monkeypatch.setattr(line_dedup, "PART", part, raising=False)
+    for part, small in ((256, 256), (16, 256), (16, 16)):  # the last by rare shingles
+        monkeypatch.setattr(line_dedup, "PART", part)
+        monkeypatch.setattr(line_dedup, "SMALL", small)
         got = {frozenset((r.a, r.b)) for r in line_dedup.similar_lines(spark, ids).collect()}
         assert got == {frozenset((k, k + 30)) for k in range(30)}
 
 
+def test_lines_of_one_template_make_few_pairs(spark):
+    # one band for 2,000 lines that share a long template and are not near one another, and ten near pairs among them
+    rng = np.random.default_rng(21)
+    template = "Licensed under the terms of the notice that comes with this work; see there for "
+    lines = [template + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 60)) for _ in range(2000)]
+    lines += [line + "." for line in lines[:10]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    rooted = texts.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("root"))
+    fine = line_dedup.by_rare_shingles(spark, rooted, line_dedup.with_mixed_roots(rooted), texts)
+    pairs = {(r.a, r.b) for r in line_dedup.apart_pairs(spark, fine, line_dedup.with_mixed_roots(fine)).distinct().collect()}
+    assert {(k, k + 2000) for k in range(10)} <= pairs and len(pairs) < 20_000
+
+
 def test_bands_find_pairs_near_the_limit(spark):
     rng = np.random.default_rng(11)
     letters = list("abcdefghijklmnopqrstuvwxyz    ")
@@ -313,9 +327,15 @@ def test_places_of_repeated_doc_ids(spark):
     assert rest in (["None", "x", "y"], ["", "None", "x\ny"])
 
 
-def test_line_dedup_uses_no_python(spark):
-    plan = line_dedup.band_keys(line_dedup.document_lines(frame(spark, ["some line of text"])))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_line_dedup_uses_no_python(spark, monkeypatch):
+    plans, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda spark, df, *more: (plans.append(df), write(spark, df, *more))[1])
+    docs = frame(spark, ["some line of text", "some line of texts\nanother line here", "some line of text.\nx"])
+    plans.append(line_dedup.line_classes(spark, docs))
+    assert len(plans) > 8
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_bpe_equals_the_library(spark):
