@@ -193,7 +193,7 @@ def search(spark: SparkSession, pairs: DataFrame, trees: DataFrame, blocks: Data
                     state = Search(q, np.array(batch.column("least")[i].values, np.int64), k)
                 part = {c: np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in (("x", np.int64), ("bounds", np.int64), ("centres", np.float64), ("radii", np.float64), ("nulls", np.int64), ("ids", np.int64))}
                 n, keys = len(part["ids"]), batch.column("keys")[i].as_py()
-                state.tree(part["x"].reshape(n, dim), part["bounds"].reshape(-1, 2), part["centres"].reshape(-1, dim), part["radii"], part["nulls"], part["ids"], np.array([keys[32 * j : 32 * j + 32].decode() for j in range(n)], object))
+                state.tree(part["x"].reshape(n, dim), part["bounds"].reshape(-1, 2), part["centres"].reshape(len(part["radii"]), dim), part["radii"], part["nulls"], part["ids"], np.array([keys[32 * j : 32 * j + 32].decode() for j in range(n)], object))
         yield from told()
 
     lowest = F.lit(-(1 << 63))

@@ -589,7 +589,7 @@ def test_clashing_columns_and_empty_tables_of_queries(spark, tmp_path):
     assert [(r.doc_id, r.item_id, r.equal) for r in decontaminate.overlaps(spark, docs, items).collect()] == [(1, 9, 9)]
     pages = spark.createDataFrame([(1, "http://a/", "<p>x", "h", "t", "p")], "page_id long, url string, html string, http_header string, text string, payload string")
     assert sorted(r.block for r in warc.derivatives(warc.page_responses(pages)).collect())[1] == "x"
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registry.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
