@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flightframe.functions.texts import mode_name
 from flightframe.operators.align import inside_spans
 from flightframe.operators.logs import total_duration
+from flightframe.sources.store import stored
 
 SHORTEST_S = 0.5
 ARMED_BIT = 128
@@ -133,9 +134,9 @@ def all_armed_spans(fields: DataFrame) -> DataFrame:
     """Heartbeats before states before arming events; fields(log_id, msg_type, field, seq, t, v).
 
     Of several messages of one kind the first in order of rank, then of letters, that has a span is taken (a catalog in a log's own order may have another
-    first).
+    first).  The spans of each kind are stored: all three are by log, so else one task would hold the sorts and windows of all of them at once.
     """
-    return first_source(heartbeat_spans(fields), state_spans(fields), event_message_spans(fields))
+    return first_source(*(stored(found(fields), "spans") for found in (heartbeat_spans, state_spans, event_message_spans)))
 
 
 def wind_speeds(fields: DataFrame) -> DataFrame:
@@ -170,13 +171,17 @@ def wind_stats(winds: DataFrame, spans: DataFrame) -> DataFrame:
     return good.groupBy("log_id").agg(F.first("source").alias("wind_source"), F.avg("speed").alias("wind_mean"), F.max("speed").alias("wind_max"))
 
 
-def flight_totals(spans: DataFrame) -> DataFrame:
-    """(log_id, flights, longest, longest_start, armed_total): the first of the longest flights."""
-    return spans.groupBy("log_id").agg(F.count("*").alias("flights"), F.max("duration").alias("longest"), F.min_by("start_t", F.struct((-F.col("duration")).alias("d"), "start_t")).alias("longest_start"), F.sum("duration").alias("armed_total"))
+def flight_totals(spans: DataFrame, *more: Column) -> DataFrame:
+    """(log_id, flights, longest, longest_start, armed_total): the first of the longest flights; more: other aggregates over them."""
+    return spans.groupBy("log_id").agg(F.count("*").alias("flights"), F.max("duration").alias("longest"), F.min_by("start_t", F.struct((-F.col("duration")).alias("d"), "start_t")).alias("longest_start"), F.sum("duration").alias("armed_total"), *more)
 
 
 def log_summary(samples: DataFrame, spans: DataFrame, winds: DataFrame) -> DataFrame:
-    """One row per log: duration, arming source, flights, longest, armed_total, wind source, mean and max."""
-    source = spans.groupBy("log_id").agg(F.first("source").alias("arming_source"))
-    out = total_duration(samples).join(flight_totals(spans), "log_id", "left").join(source, "log_id", "left").join(wind_stats(winds, spans), "log_id", "left")
+    """One row per log: duration, arming source, flights, longest, armed_total, wind source, mean and max.
+
+    Spans, winds and their means are stored, so that each is made once and no task holds the sorts of all steps at once.
+    """
+    spans, winds = stored(spans, "spans"), stored(winds, "winds")
+    totals = flight_totals(spans, F.first("source").alias("arming_source"))
+    out = total_duration(samples).join(totals, "log_id", "left").join(stored(wind_stats(winds, spans), "wind"), "log_id", "left")
     return out.select("log_id", F.col("total").alias("duration"), F.coalesce("arming_source", F.lit("none")).alias("arming_source"), F.coalesce("flights", F.lit(0)).alias("flights"), "longest", F.coalesce("armed_total", F.lit(0.0)).alias("armed_total"), F.coalesce("wind_source", F.lit("None")).alias("wind_source"), "wind_mean", "wind_max")

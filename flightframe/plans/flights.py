@@ -9,6 +9,7 @@ from flightframe.functions import texts
 from flightframe.operators import params, spans
 from flightframe.plans.base import SAMPLES, query, rounded_all
 from flightframe.sources.events import event_samples
+from flightframe.sources.store import stored
 
 _MODES = "modes as (select log_id, t, seq, cast(k % 30 as varchar) as mode, ['binary', 'text', 'link'][log_id % 3 + 1] as kind, log_id % 2 = 0 as copter, e from samples join (select log_id, max(t) as e from samples group by log_id) using (log_id) where series = 'click')"
 
@@ -135,6 +136,11 @@ every as (select log_id, start_t, end_t, duration, source, struct_pack(kind := 0
 spans as (select * from (select *, min(place) over (partition by log_id) as best from every) where place = best)"""
 
 
+def _stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples for queries that read them many times."""
+    return stored(event_samples(spark, sf_dir), "samples")
+
+
 def all_spans(samples: DataFrame) -> DataFrame:
     most = samples.groupBy("log_id").agg(F.max("k").alias("most"))
     told = _messages(samples).join(most, "log_id").where("(most % 3 = 0 or not startswith(msg_type, 'HEARTBEAT')) and (most % 3 < 2 or not startswith(msg_type, 'STAT'))").drop("most")
@@ -143,7 +149,7 @@ def all_spans(samples: DataFrame) -> DataFrame:
 
 @query("win6_source_precedence", f"with {_ALL} select {_SPAN}, source from spans")
 def source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_all(all_spans(event_samples(spark, sf_dir)), "duration")
+    return rounded_all(all_spans(_stored_samples(spark, sf_dir)), "duration")
 
 
 #: By the greatest k of a log: messages and fields with its wind, and others that do not count beside them.
@@ -184,7 +190,7 @@ wind_stats as (select log_id, any_value(source) as wind_source, avg(speed) as wi
 
 @query("agg2_wind_stats", f"with {_ALL}, {_WINDS}, {_FLYING} select log_id, wind_source, round(wind_mean, 6) as wind_mean, round(wind_max, 6) as wind_max from wind_stats")
 def wind_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_samples(spark, sf_dir)
+    samples = _stored_samples(spark, sf_dir)
     return rounded_all(spans.wind_stats(spans.wind_speeds(wind_fields(samples)), all_spans(samples)), "wind_mean", "wind_max")
 
 
@@ -193,7 +199,7 @@ _TOTALS = "totals as (select log_id, count(*) as flights, max(duration) as longe
 
 @query("agg3_flight_totals", f"with {_ALL}, {_TOTALS} select log_id, flights, round(longest, 6) + 0.0 as longest, longest_start, round(armed_total, 6) + 0.0 as armed_total from totals")
 def flight_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_all(spans.flight_totals(all_spans(event_samples(spark, sf_dir))), "longest", "armed_total")
+    return rounded_all(spans.flight_totals(all_spans(_stored_samples(spark, sf_dir))), "longest", "armed_total")
 
 
 _SUMMARY = f"""with {_ALL}, {_WINDS}, {_FLYING}, {_TOTALS}, logs as (select log_id, max(t) - min(t) as duration from samples group by log_id), sources as (select log_id, any_value(source) as s from spans group by log_id),
@@ -203,7 +209,7 @@ summary as (select log_id, duration, coalesce(s, 'none') as arming_source, coale
 
 @query("sum1_log_summary", f"{_SUMMARY} select log_id, round(duration, 6) + 0.0 as duration, arming_source, flights, round(longest, 6) + 0.0 as longest, round(armed_total, 6) + 0.0 as armed_total, wind_source, round(wind_mean, 6) as wind_mean, round(wind_max, 6) as wind_max from summary")
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = event_samples(spark, sf_dir)
+    samples = _stored_samples(spark, sf_dir)
     return rounded_all(spans.log_summary(samples, all_spans(samples), spans.wind_speeds(wind_fields(samples))), "duration", "longest", "armed_total", "wind_mean", "wind_max")
 
 

@@ -330,3 +330,13 @@ def test_store_reads_only_what_is_asked_for(spark, tmp_path):
     assert {(r.msg_type, r.log_id, r.field, r.n, r.t_last) for r in sample_store.catalog(spark, path).collect()} == {(m, log, f, 200, 19.9) for m in ("GPS[0]", "007", "ATT", None) for log in "123" for f in "ab"}
     sample_store.write_store(df.limit(0), str(tmp_path / "none"))
     assert sample_store.catalog(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_log_summary_holds_few_sorts_in_one_plan(spark):
+    samples = spark.createDataFrame([(log, "view", 10 * log + k, float(k), 1.0 + k) for log in range(4) for k in range(6)], "log_id long, series string, seq long, t double, v double")
+    fields = samples.select("log_id", F.lit("STAT").alias("msg_type"), F.lit("Armed").alias("field"), "seq", "t", (F.col("seq") % 5 - 1).cast("double").alias("v"))
+    winds = fields.withColumns({"msg_type": F.lit("WIND"), "field": F.lit("speed"), "v": F.lit(3.0)})
+    summary = spans.log_summary(samples, spans.all_armed_spans(fields), spans.wind_speeds(winds))
+    plan = summary._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 2  # what comes before is stored
+    assert [(r.log_id, r.duration, r.arming_source, r.flights, r.wind_mean) for r in summary.orderBy("log_id").collect()] == [(log, 5.0, "STAT.Armed", 1, 3.0) for log in range(4)]
