@@ -1,5 +1,6 @@
 """Closed-form cases, edge cases and sinks."""
 
+import gzip
 import math
 
 import numpy as np
@@ -340,3 +341,37 @@ def test_log_summary_holds_few_sorts_in_one_plan(spark):
     plan = summary._jdf.queryExecution().sparkPlan().toString()
     assert "Window" not in plan and plan.count("Join") == 2  # what comes before is stored
     assert [(r.log_id, r.duration, r.arming_source, r.flights, r.wind_mean) for r in summary.orderBy("log_id").collect()] == [(log, 5.0, "STAT.Armed", 1, 3.0) for log in range(4)]
+
+
+def test_export_to_files_grows_with_the_cells(spark, tmp_path):
+    """Every log has times of its own: one file needs a separator for each time and column, the files one for each cell and column of a file."""
+    df = spark.range(1200).select((F.col("id") % 60).alias("log_id"), F.lit("a").alias("series"), F.col("id").alias("seq"), (F.col("id") / 4).alias("t"), F.when(F.col("id") % 7 > 0, F.col("id") / 8).alias("v"))
+    dim = spark.range(60).select(F.col("id").alias("log_id"), F.format_string("F%02d", "id").alias("label"), F.lit(0.0).alias("shift"))
+    for fill in ("none", "ffill"):
+        assert sinks.export_csv(df, dim, df.select("log_id", "series"), str(tmp_path / f"{fill}.csv"), fill=fill, parts=5) == 1200
+        assert sinks.export_files(df, dim, df.select("log_id", "series"), str(tmp_path / fill), fill=fill, parts=5, width=7) == 1200
+        whole = pd.read_csv(tmp_path / f"{fill}.csv").melt("timestamp", var_name="column", value_name="v").dropna().sort_values(["timestamp", "column"], ignore_index=True)
+        found = sinks.read_files(spark, str(tmp_path / fill)).toPandas().sort_values(["timestamp", "column"], ignore_index=True)
+        pd.testing.assert_frame_equal(found, whole, check_dtype=False)
+        for k in range(9):
+            lines = "".join(gzip.decompress(f.read_bytes()).decode() for f in sorted((tmp_path / fill / f"file={k}").glob("*.gz"))).splitlines()
+            assert lines[0] == "timestamp," + ",".join(f"F{c:02d}.a" for c in range(7 * k, min(7 * k + 7, 60)))
+            times = [float(line.split(",")[0]) for line in lines[1:]]
+            assert times == sorted(times) and len(times) == (1200 if fill == "ffill" else 20 * min(7, 60 - 7 * k))
+            assert all(line.count(",") == min(7, 60 - 7 * k) for line in lines)
+    assert sinks.export_files(df, dim, df.where("log_id < 0").select("log_id", "series"), str(tmp_path / "no"), width=7) == 0
+    assert sinks.read_files(spark, str(tmp_path / "no")).count() == 0
+
+
+def test_filled_files_carry_values_over_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "BLOCK", 16)
+    monkeypatch.setattr(sinks, "LINES", 5)
+    test_export_to_files_grows_with_the_cells(spark, tmp_path)
+
+
+def test_export_to_files_takes_equal_times_as_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(log, "a", 10 * log + k, 0.1234567 * (k // 2), float(k)) for log in (1, 2, 3) for k in range(4)], "log_id long, series string, seq long, t double, v double")
+    dim = spark.createDataFrame([(log, f"F{log}", 0.0) for log in (1, 2, 3)], "log_id long, label string, shift double")
+    assert sinks.export_files(df, dim, df.select("log_id", "series"), str(tmp_path / "equal"), fill="ffill", width=2) == 4
+    rows = sinks.read_files(spark, str(tmp_path / "equal")).orderBy("column", "timestamp", "v").collect()
+    assert [tuple(r) for r in rows] == [(t, f"F{log}.a", v) for log in (1, 2, 3) for t, v in ((0.0, 0.0), (0.0, 1.0), (0.1234567, 2.0), (0.1234567, 3.0))]
