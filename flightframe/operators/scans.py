@@ -35,9 +35,12 @@ def inside(order: Sequence[str | Column], keys: Sequence[str] = SERIES) -> Windo
 def handed_in(rows: DataFrame, states: dict[str, tuple[Column, Callable[[str], Column]]], keys: Sequence[str] = SERIES, down: bool = False) -> DataFrame:
     """rows with a column for each state(aggregate over a piece, how those of earlier pieces are combined); null where no piece
     of the series comes before.  down: from the last piece to the first."""
-    before = Window.partitionBy(*keys).orderBy(F.desc(PIECE) if down else PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*keys).orderBy(F.desc(PIECE) if down else PIECE)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*keys, PIECE).agg(*(aggregate.alias(name) for name, (aggregate, _) in states.items()))
-    ahead = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(PIECE).alias("__of"), *(combine(name).over(before).alias(name) for name, (_, combine) in states.items()))
+    ahead = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(PIECE).alias("__of"), *(combine(name).over(before).alias(name) for name, (_, combine) in states.items()), F.row_number().over(order).alias("__nth"))
+    # pieces follow one another in order of keys, so no more rows than pieces have one of their series before them
+    ahead = F.broadcast(ahead.where("__nth > 1").drop("__nth"))
     same = F.col(PIECE) == F.col("__of")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -102,7 +105,7 @@ def with_dt(samples: DataFrame, keys: Sequence[str] = SERIES, parts: int | None
     """series.with_dt for series of any length: pieces with row, dt and median_dt."""
     order = ["t", "seq"]
     steps = with_previous(numbered(pieces(samples, order, keys, parts), order, keys), "t", "__previous", order, keys)
-    steps = steps.withColumn("dt", F.col("t") - F.col("__previous")).drop("__previous")
+    steps = stored(steps.withColumn("dt", F.col("t") - F.col("__previous")).drop("__previous"), "steps")  # read three times
     middle = medians(steps.where("dt > 0"), "dt", keys, parts).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("median").alias("median_dt"))
     same = F.lit(True)
     for k in keys:

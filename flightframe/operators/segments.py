@@ -46,7 +46,7 @@ def _spans(split: DataFrame, keys: Sequence[str], long: bool = False) -> DataFra
         F.max("t").alias("end_t"),
         F.count("*").alias("samples"),
         F.first("median_dt").alias("series_median_dt"),
-        F.median(positive).alias("own_median_dt"),
+        (F.lit(None).cast("double") if long else F.median(positive)).alias("own_median_dt"),
     )
     if not long:
         return spans
@@ -68,7 +68,7 @@ def gap_segments(samples: DataFrame, multiplier: float = 20.0, min_gap_s: float
     Segments below min_samples and one second go unless all are like that; the longest is the first of the longest
     duration, then of most samples.
     """
-    spans = _spans(split_at_gaps(samples, multiplier, min_gap_s, keys, long), keys, long).withColumn("duration", F.col("end_t") - F.col("start_t"))
+    spans = _spans(split_at_gaps(samples.select(*keys, "t", "seq"), multiplier, min_gap_s, keys, long), keys, long).withColumn("duration", F.col("end_t") - F.col("start_t"))
     large = (F.col("samples") >= min_samples) | (F.col("duration") >= 1.0)
     kept = spans.withColumn("large", large).withColumn("any", F.max("large").over(whole(keys))).where("large or not any")
     order = Window.partitionBy(*keys).orderBy("start_idx")
@@ -89,7 +89,7 @@ def gap_segments(samples: DataFrame, multiplier: float = 20.0, min_gap_s: float
 
 def fine_segments(samples: DataFrame, multiplier: float = 20.0, min_gap_s: float = 0.05, keys: Sequence[str] = SERIES, long: bool = False) -> DataFrame:
     """(keys, segment, start_idx, end_idx, start_t, end_t, duration, samples, median_dt, fs); none is dropped."""
-    spans = _spans(split_at_gaps(samples, multiplier, min_gap_s, keys, long), keys, long)
+    spans = _spans(split_at_gaps(samples.select(*keys, "t", "seq"), multiplier, min_gap_s, keys, long), keys, long)
     median = F.coalesce("own_median_dt", "series_median_dt", F.lit(0.0))
     duration = F.col("end_t") - F.col("start_t")
     fs = F.when(duration > 0, (F.col("samples") - 1) / duration).when(F.col("median_dt") > 0, 1 / F.col("median_dt")).otherwise(0.0)

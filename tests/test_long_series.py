@@ -121,3 +121,17 @@ def test_scans_of_nothing(small_pieces):
     none = samples(small_pieces).limit(0)
     assert segments.data_rate(none, long=True).count() == 0 and segments.gap_segments(none, long=True).count() == 0
     assert scans.unwrapped(none).count() == 0 and calc.long_vibration(none).count() == 0
+
+
+def test_only_series_in_several_pieces_are_handed_states(spark):
+    rows = spark.range(3000).select((F.col("id") % 50).alias("log_id"), F.lit("a").alias("series"), F.col("id").alias("seq"), F.col("id").cast("double").alias("t"), F.lit(1.0).alias("v"))
+    cut = scans.pieces(rows, ["t", "seq"], parts=7)
+    states = scans.handed_in(cut, {"__n": (F.count("*"), F.sum)})
+    crossing = cut.select("log_id", scans.PIECE).distinct().count() - 50
+    assert 0 < crossing <= 7 and states.where("__n is not null").select("log_id", scans.PIECE).distinct().count() == crossing
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        assert "SortMergeJoin" not in scans.handed_in(cut, {"__n": (F.count("*"), F.sum)})._jdf.queryExecution().sparkPlan().toString()  # no shuffle of the rows for them
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert states.count() == 3000
