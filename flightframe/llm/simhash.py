@@ -218,7 +218,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = written(spark, known.mapInArrow(prints, "doc_id long, grams binary, b0 long, b1 long").withColumn("node", F.xxhash64("grams")), "grams")
+    # a text's gram set is several times its size: only its hash is stored, and the few sets that are compared are made again
+    printed = lambda docs: docs.mapInArrow(prints, "doc_id long, grams binary, b0 long, b1 long").withColumn("node", F.xxhash64("grams"))
+    rows = written(spark, printed(known).select("doc_id", "node", "b0", "b1"), "prints")
     # equal sets are one node
     nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("b0").alias("b0"), F.min("b1").alias("b1")), "nodes")
     parts = max(1, -(-nodes.count() // tile_rows))
@@ -232,11 +234,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows:
     tasks = min(count, max(64 * spark.sparkContext.defaultParallelism, count // WIDE_PAIRS_PER_TASK))
     first = names.join(tiles.select(F.col("part").alias("own"), F.col("tile").alias("x")), "own")
     sides = first.join(tiles.withColumnRenamed("tile", "y"), "part").select("x", "y", "own", "part", (F.col("own") == F.col("part")).alias("same")).repartition(tasks, "own", "part")
-    pairs = written(spark, sides.select("x", "y", "same").mapInArrow(compare, "a long, b long"), "pairs")
+    pairs = written(spark, sides.select("x", "y", "same").mapInArrow(compare, "a long, b long"), "pairs", tiles)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(spark, rows.join(ends, "node", "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets")
+    # of equal sets that of the document with the smallest doc_id; one that repeats its doc_id may have other sets as well
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
+    again = printed(known.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    sets = written(spark, again.join(wanted.select("node"), "node", "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    roots = connected_components(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")).withColumnRenamed("root", "top")
+    links = written(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near", pairs, sets)
+    roots = connected_components(spark, links).withColumnRenamed("root", "top")
     named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("top", "node").alias("top"))
     lowest = named.groupBy("top").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(lowest, "top").select("node", "component_id"), "node").select("doc_id", "component_id")

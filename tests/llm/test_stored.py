@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
-from flightframe.llm import simhash, telephony
-from tests.llm.test_exact import frame
+from pyspark.sql import functions as F
+
+from flightframe.llm import shared, simhash, telephony
+from tests.llm.test_exact import frame, text_of
 
 
 def test_op10_goes_through_stored_columns(spark, monkeypatch):
@@ -44,3 +46,25 @@ def test_near_copies_compare_every_pair_of_tiles(spark, tile_rows):
     texts += [t + " more" for t in texts]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark, frame(spark, texts), tile_rows=tile_rows).collect()}
     assert got == {k: k % 60 for k in range(120)}
+
+
+def test_near_copies_store_no_gram_sets(spark, monkeypatch):
+    columns = []
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda spark, df, name, *more: (columns.append((name, df.columns, df.count())), write(spark, df, name, *more))[1])
+    rng = np.random.default_rng(31)
+    texts = [text_of(rng, 60) for _ in range(40)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark, frame(spark, [*texts, texts[0] + " end", texts[7]])).collect()}
+    assert got == {k: k for k in range(40)} | {40: 0, 41: 7}
+    assert [(name, n) for name, names, n in columns if "grams" in names] == [("sets", 2)]
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(shared.CLEANUP, None)
+    df = shared.written(spark, spark.range(1000).repartition(4, "id"), "dealt")
+    assert shuffled() <= before and spark.conf.get(shared.CLEANUP, None) == setting
+    assert df.count() == 1000
