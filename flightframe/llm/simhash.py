@@ -13,11 +13,13 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightframe.llm.components import connected_components
+from flightframe.llm.line_dedup import FILTER_ENTRIES, with_mixed_roots
 from flightframe.llm.shared import table, written
+from flightframe.llm.url_filter import possible_hits
 
 BITS = 64
 SEED = 42
@@ -25,8 +27,12 @@ SEED = 42
 FIRST_RADIUS, WIDE_RADIUS = 20, 34
 
 
+#: Points of the hash range and hashes from each on that are a band of a text.
+BAND_POINTS, BAND_ROWS = 16, 3
+
+
 #: Pairs of tile rows that one task gets, about: they come to it in one Arrow batch.
-PAIRS_PER_TASK, WIDE_PAIRS_PER_TASK = 1024, 64
+PAIRS_PER_TASK = 1024
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -170,6 +176,19 @@ def wide_fingerprint(grams: np.ndarray) -> tuple[int, int]:
     return _bits(grams), _bits((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
 
 
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set of hashes: the BAND_ROWS lowest from each of BAND_POINTS points of the hash range on, wrapped around."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    points = np.arange(BAND_POINTS, dtype=np.uint64) * np.uint64((1 << 64) // BAND_POINTS)
+    ring = grams[(np.searchsorted(grams, points)[:, None] + np.arange(BAND_ROWS)) % len(grams)]
+    key = np.zeros(BAND_POINTS, np.uint64)
+    for k in range(BAND_ROWS):
+        key = (key ^ ring[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return np.unique(key).view(np.int64)
+
+
 def near_in_tiles(a: np.ndarray, b: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs of two tiles (n x 2 words of 64 bits) within FIRST_RADIUS of the first word and WIDE_RADIUS of both."""
     out_i, out_j = [], []
@@ -181,33 +200,75 @@ def near_in_tiles(a: np.ndarray, b: np.ndarray, block: int = 256) -> tuple[np.nd
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def _near_prints(a: str, b: str) -> Column:
+    """near_in_tiles for two columns of structs, and sizes that don't rule out a similarity of 0.8."""
+    first, second = (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("b0", "b1"))
+    sizes = (5 * F.col(f"{a}.size") >= 4 * F.col(f"{b}.size")) & (5 * F.col(f"{b}.size") >= 4 * F.col(f"{a}.size"))
+    return (first <= FIRST_RADIUS) & (first + second <= WIDE_RADIUS) & sizes
+
+
+def pairs_apart(spark: SparkSession, rooted: DataFrame, tile_rows: int) -> DataFrame:
+    """rooted(key, id, root, b0, b1) -> distinct pairs(a, b) of near fingerprints in one band and different components.
+
+    A band is cut into tiles of about tile_rows rows; each pair of a band's tiles is dealt by itself.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.stack([np.asarray(batch.column(c)[k].values) for c in ("i", "r", "p", "q")], axis=1).astype(np.int64).tobytes() for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("part"), batch.column("parts"), pa.array(rows, pa.binary())], ["key", "part", "parts", "tile"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same").to_pylist(), strict=True):
+                a, b = (np.frombuffer(v.as_buffer(), np.int64).reshape(-1, 4) for v in (x, y))
+                i, j = near_in_tiles(a[:, 2:].view(np.uint64), b[:, 2:].view(np.uint64))
+                i, j = a[i, :2], b[j, :2]
+                apart = (i[:, 1] != j[:, 1]) & ((i[:, 0] < j[:, 0]) | (not same))
+                found.append(np.sort(np.stack([i[apart, 0], j[apart, 0]], axis=1), axis=1))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    mixed = with_mixed_roots(rooted.select("key", "id", "root")).select("key", F.ceil(F.col("n") / tile_rows).alias("parts"))
+    placed = rooted.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    lists = placed.groupBy("key", "part", "parts").agg(F.collect_list(F.struct("id", "root", "b0", "b1")).alias("l"))
+    columns = [F.col(f"l.{c}").alias(n) for c, n in (("id", "i"), ("root", "r"), ("b0", "p"), ("b1", "q"))]
+    tiles = written(spark, lists.select("key", "part", "parts", *columns).mapInArrow(pack, "key long, part long, parts long, tile binary"), "tiles")
+    far = tiles.select("key", F.col("part").alias("own"), F.col("tile").alias("x"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    sides = far.join(tiles.select("key", "part", F.col("tile").alias("y")), ["key", "part"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.withColumn("same", F.col("own") == F.col("part")).repartition(tasks, "key", "own", "part")
+    return written(spark, dealt.select("x", "y", "same").mapInArrow(compare, "a long, b long").distinct(), "pairs", tiles)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows: int = 8192) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, component_id): components of texts whose word shingles have a Jaccard similarity of 0.8 or more.
 
-    All pairs of 128-bit fingerprints are compared by tiles, with a radius that at 0.8 (about 19 bits apart on average)
+    Texts meet where they share a band (see band_keys; over 0.9999 of the pairs at 0.8 do), so the work grows with the texts and not with their
+    square.  A text meets the first and the last of its bands; bands that then still mix components are compared whole, by tiles.
+    Their 128-bit fingerprints are compared with a radius that at 0.8 (about 19 bits apart on average)
     loses few pairs (a test finds at least 0.97 of those of 5 shingles and 0.99 of those of 30 to 300); each pair found is verified by the exact similarity of its shingle sets.
     Rows with a null doc_id are left out.
     """
 
+    def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [gram_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column("text")]
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [gram_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column("text")]
+            sets = sets_of(batch)
             both = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "grams", "b0", "b1"])
+            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes), keys], ["doc_id", "node", "b0", "b1", "size", "keys"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64).reshape(-1, 3).view(np.uint64) for c in ("x", "y"))
-                i, j = near_in_tiles(a[:, 1:], b[:, 1:])
-                i, j = a[i, 0].view(np.int64), b[j, 0].view(np.int64)
-                apart = i < j if batch.column("same")[k].as_py() else i != j
-                yield pa.RecordBatch.from_arrays([pa.array(i[apart]), pa.array(j[apart])], ["a", "b"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.stack([np.asarray(batch.column(c)[k].values) for c in ("n", "p", "q")], axis=1).astype(np.int64).tobytes() for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(rows, pa.binary())], ["part", "tile"])
+            sets = [s.tobytes() for s in sets_of(batch)]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.binary())], ["node", "grams"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,31 +279,39 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = 5, tile_rows:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    # a text's gram set is several times its size: only its hash is stored, and the few sets that are compared are made again
-    printed = lambda docs: docs.mapInArrow(prints, "doc_id long, grams binary, b0 long, b1 long").withColumn("node", F.xxhash64("grams"))
-    rows = written(spark, printed(known).select("doc_id", "node", "b0", "b1"), "prints")
+    rows = written(spark, known.mapInArrow(prints, "doc_id long, node long, b0 long, b1 long, size long, keys array<long>"), "prints")
     # equal sets are one node
-    nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("b0").alias("b0"), F.min("b1").alias("b1")), "nodes")
-    parts = max(1, -(-nodes.count() // tile_rows))
-    lists = nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("node", "b0", "b1")).alias("l"))
-    tiles = written(spark, lists.select("part", F.col("l.node").alias("n"), F.col("l.b0").alias("p"), F.col("l.b1").alias("q")).mapInArrow(pack, "part int, tile binary"), "tiles")
-    # pairs of tiles by name first, each tile with the half of the others that follow it in a ring: as many pairs for every tile
-    far = tiles.select(F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(parts // 2))).alias("step"))
-    names = far.select("own", ((F.col("own") + F.col("step")) % parts).alias("part"), "step").where((2 * F.col("step") != parts) | (F.col("own") < F.col("part")))
-    # the work is in the comparison: few bytes, but a task of its own for each few tile pairs
-    count = parts * (parts + 1) // 2
-    tasks = min(count, max(64 * spark.sparkContext.defaultParallelism, count // WIDE_PAIRS_PER_TASK))
-    first = names.join(tiles.select(F.col("part").alias("own"), F.col("tile").alias("x")), "own")
-    sides = first.join(tiles.withColumnRenamed("tile", "y"), "part").select("x", "y", "own", "part", (F.col("own") == F.col("part")).alias("same")).repartition(tasks, "own", "part")
-    pairs = written(spark, sides.select("x", "y", "same").mapInArrow(compare, "a long, b long"), "pairs", tiles)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # of equal sets that of the document with the smallest doc_id; one that repeats its doc_id may have other sets as well
-    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-    again = printed(known.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"))
-    sets = written(spark, again.join(wanted.select("node"), "node", "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    links = written(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near", pairs, sets)
-    roots = connected_components(spark, links).withColumnRenamed("root", "top")
+    nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs with a similarity of 0.8 or more; a text's gram set is several times its size, so only those that are compared are made again and stored."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # of equal sets that of the document with the smallest doc_id; one that repeats its doc_id may have other sets as well
+        wanted = written(spark, nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("key")), "wanted")
+        some = possible_hits(known.withColumnRenamed("doc_id", "key"), wanted.select("key").distinct(), FILTER_ENTRIES)
+        again = some.join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(grams, "node long, grams binary")
+        sets = written(spark, again.join(wanted.select("node"), "node", "left_semi").select("node", "grams").dropDuplicates(["node"]), "sets", wanted)
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        return written(spark, both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near", pairs, sets)
+
+    # a band's texts first meet two of them, so a group of near copies of any size costs two pairs a text and band
+    bands = rows.select("node", F.struct("b0", "b1", "size").alias("own"), F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("own").alias("own"))
+    bands = written(spark, bands, "bands")
+    ends = [f(F.struct("node", "own.b0", "own.b1", "own.size")).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+    hubs = written(spark, bands.groupBy("key").agg(*ends).where("low.node < high.node"), "hubs")
+    members = written(spark, possible_hits(bands, hubs.select("key"), FILTER_ENTRIES).join(hubs, "key"), "members", bands, hubs)
+    met = members.select("node", "own", F.explode(F.array("low", "high")).alias("hub")).where((F.col("node") != F.col("hub.node")) & _near_prints("own", "hub"))
+    pairs = written(spark, met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "pairs")
+    links = verified(pairs)
+    roots = written(spark, connected_components(spark, links), "roots")
+    # pairs with the hubs are known; bands of three texts or fewer have no others
+    inner = members.where("node <> low.node and node <> high.node").select("key", F.col("node").alias("id"), "own.b0", "own.b1")
+    rooted = inner.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = pairs_apart(spark, written(spark, rooted.select("key", "id", "root", "b0", "b1"), "rooted", members), tile_rows)
+    if rest.limit(1).count():
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest))
+        roots = written(spark, connected_components(spark, stars), "roots")
+    roots = roots.withColumnRenamed("root", "top")
     named = nodes.join(roots, "node", "left").select("node", "rep", F.coalesce("top", "node").alias("top"))
     lowest = named.groupBy("top").agg(F.min("rep").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(lowest, "top").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -81,3 +81,40 @@ def test_copies_of_one_text_make_pairs_of_different_components_only(spark):
     plan = line_dedup.apart_pairs(spark, rooted, mixed)
     # the third is too long to be near any other
     assert {(r.a, r.b) for r in plan.collect()} == {(k, 1000 + j) for k in range(300) for j in range(2)} | {(1000, 1001)}
+
+
+def test_near_copies_compare_few_of_many_texts(spark, monkeypatch):
+    # of 600 texts, none near another but the last 20, only pairs that share a band are compared
+    compared, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda spark, df, name, *more: (compared.append(df.count()) if name in ("pairs", "tiles") else None, write(spark, df, name, *more))[1])
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words, 80)) for _ in range(580)]
+    texts += [t + " more" for t in texts[:20]]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark, frame(spark, texts), tile_rows=16).collect()}
+    assert got == {k: k % 580 for k in range(600)}
+    assert compared == [20, 0, 0]  # pairs with the hubs; tiles and pairs of mixed bands; all tiles of 16 made 741 pairs of tiles before
+
+
+def test_near_copies_between_the_hubs_of_a_band(spark, monkeypatch):
+    # one band for all texts: what neither the first nor the last of it is near must be compared as well, however tiles are cut
+    monkeypatch.setattr(simhash, "band_keys", lambda grams: np.ones(1, np.int64))
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(400)], 60)) for _ in range(30)]
+    texts += [t + " more" for t in texts]
+    for tile_rows in (7, 8192):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(spark, frame(spark, texts), tile_rows=tile_rows).collect()}
+        assert got == {k: k % 30 for k in range(60)}
+
+
+@pytest.mark.parametrize("size", [5, 10, 30, 100, 300])
+def test_bands_of_sets_at_the_limit(size):
+    rng = np.random.default_rng(size)
+    lost = 0
+    for _ in range(2000):
+        common, more = rng.integers(0, 1 << 63, -(-8 * size // 9), dtype=np.int64).view(np.uint64), 2 * (size - -(-8 * size // 9))
+        rest = rng.integers(0, 1 << 63, more, dtype=np.int64).view(np.uint64)
+        a, b = (np.sort(np.concatenate((common, rest[k::2])) * np.uint64(0x9E3779B97F4A7C15)) for k in range(2))
+        lost += not len(np.intersect1d(simhash.band_keys(a), simhash.band_keys(b)))
+    assert lost <= 2
+    assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
