@@ -118,3 +118,30 @@ def test_bands_of_sets_at_the_limit(size):
         lost += not len(np.intersect1d(simhash.band_keys(a), simhash.band_keys(b)))
     assert lost <= 2
     assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0
+
+
+def test_sketches_leave_out_pairs_that_are_not_near_and_no_others(spark, monkeypatch):
+    # long lines of one beginning: in one band, but few pairs of them are compared by their texts
+    compared, check = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda spark, pairs, texts: (compared.append(pairs.count()), check(spark, pairs, texts))[1])
+    monkeypatch.setattr(line_dedup, "band_keys", lambda df: df.select("id", F.lit(1).cast("long").alias("key")))
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    lines = ["the same words at the beginning of each line " + "".join(rng.choice(letters, 200)) for _ in range(120)]
+    lines += [line[:60] + "!!" + line[62:] for line in lines[:30]] + [line[:50] + "".join(rng.choice(letters, 12)) + line[62:] for line in lines[30:60]]
+    links = line_dedup.similar_lines(spark, spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    assert {(r.a, r.b) for r in links.collect()} == {(k, 120 + k) for k in range(60)}
+    assert sum(compared) <= 80  # of some 16,000
+
+
+def test_shingles_are_characters_of_any_width(spark):
+    # equal shingles have equal hashes, whether or not a character of four bytes is elsewhere in the line
+    lines = ["plain text of some length", "plain text of some length \U0001f600 and more", "naïve 漢字 text of some length", "\U0001f600" * 9, "x" * 5000, "ab" * 4000]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = {r.id: set(r.s) for r in rows.select("id", line_dedup.shingles(F.col("line")).alias("s")).collect()}
+    sets = [{s[k : k + 8] for k in range(len(s) - 7)} for s in lines]
+    assert all(len(got[a] & got[b]) == len(sets[a] & sets[b]) for a in range(len(lines)) for b in range(a + 1))
+    keys = {k: {r.key for r in line_dedup.band_keys(rows).where(F.col("id") == k).collect()} for k in range(len(lines))}
+    more = spark.createDataFrame([(0, "x" * 90), (1, "ab" * 70), (2, "\U0001f600" * 11)], "id long, line string")
+    again = {k: {r.key for r in line_dedup.band_keys(more).where(F.col("id") == k).collect()} for k in range(3)}
+    assert again[0] == keys[4] and again[1] == keys[5] and again[2] == keys[3]  # equal sets, however often they repeat
